@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from . import problems, problems_sql
-
-_MODULES: list = []
+from . import feature_queries, problems, problems_sql
 
 QUERIES = dict(problems.QUERIES)
 SQL = dict(problems_sql.SQL)
-for _m in _MODULES:
+for _m in (feature_queries,):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
