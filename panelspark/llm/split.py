@@ -15,7 +15,7 @@ from .vocabulary import FOLDER, VOCABULARY, Vocabulary, vocabulary
 LIMIT, OVERLAP = 512, 64
 
 # Strengths of cuts, from a blank line down to the inside of a character.
-PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, PLAIN, NONE = 6, 5, 4, 3, 2, 0, -1
+PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, MARK, PLAIN, NONE = 6, 5, 4, 3, 2, 1, 0, -1
 # Full-width marks in UTF-8 that end a sentence or a clause.
 _WIDE_STOPS = ("。", "！", "？")
 _WIDE_COMMAS = ("，", "；", "：", "、")
@@ -34,6 +34,7 @@ def strengths(data: bytes) -> np.ndarray:
     def raise_to(at: np.ndarray, level: int) -> None:
         s[1:][at] = np.maximum(s[1:][at], level)
 
+    raise_to(np.isin(b[before], list(b"_-/|;,:.=)]}>")), MARK)
     raise_to(space[here] | space[before], WORD)
     raise_to(np.isin(b[before], list(b",;:")) & space[here], CLAUSE)
     raise_to(np.isin(b[before], list(b".!?")) & space[here], SENTENCE)
