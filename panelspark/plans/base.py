@@ -45,6 +45,15 @@ BARS = """bars AS (
   GROUP BY file_id, CAST(ts AS DATE)
 )"""
 
+#: Prices and trades of the order tables, where trades and prices share their keys: the algorithm is the customer's nation.
+NATION_PRICES = """px AS (
+  SELECT 'N' || c.c_nationkey AS algo_id, CAST(o.o_orderdate AS DATE) AS date, avg(o.o_totalprice) AS close FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY ALL
+), panel AS (SELECT algo_id, date, close, close / lag(close) OVER (PARTITION BY algo_id ORDER BY date) - 1 AS ret FROM px QUALIFY ret IS NOT NULL)"""
+NATION_TRADES = """clean AS (
+  SELECT o.o_orderkey AS trade_id, 'N' || c.c_nationkey AS algo_id, CAST(o.o_orderdate AS DATE) AS day_open, greatest(CAST(o.o_orderdate AS DATE), CAST(max(l.l_shipdate) AS DATE)) AS day_close, sum(l.l_quantity) AS volume, sum(l.l_extendedprice) AS invested
+  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY o.o_orderkey, c.c_nationkey, o.o_orderdate
+)"""
+
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "algo_returns").select("algo_id", F.col("date").cast("date").alias("date"), "close", "ret")
@@ -52,6 +61,28 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     return r.filter("ret IS NOT NULL")
 
 
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("N"), F.col("c_nationkey")).alias("algo_id"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def nation_prices(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).groupBy("algo_id", "date").agg(F.avg("o_totalprice").alias("close"))
+
+
+def nation_panel(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.panel import simple_returns
+
+    return simple_returns(nation_prices(spark, d), "algo_id").drop("log_ret").filter("ret IS NOT NULL")
+
+
+def nation_trades(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.col("l_shipdate").cast("date")).alias("z"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("invested"))  # noqa: E741
+    j = _orders(spark, d).join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.select(F.col("o_orderkey").alias("trade_id"), "algo_id", F.col("date").alias("day_open"), F.greatest("date", "z").alias("day_close"), "volume", "invested")
+
+
 def market(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).groupBy("date").agg(F.avg("ret").alias("ret"), F.count(F.lit(1)).alias("n_algos"))
 

@@ -149,12 +149,13 @@ f AS (
   FROM b WINDOW w20 AS (PARTITION BY file_id ORDER BY date ROWS 19 PRECEDING), w50 AS (PARTITION BY file_id ORDER BY date ROWS 49 PRECEDING), w14 AS (PARTITION BY file_id ORDER BY date ROWS 13 PRECEDING),
     w252 AS (PARTITION BY file_id ORDER BY date ROWS 251 PRECEDING), w21 AS (PARTITION BY file_id ORDER BY date ROWS 20 PRECEDING)
 )
-SELECT file_id, date, CASE WHEN rn >= 20 THEN round(m20, 7) END AS sma_20, CASE WHEN rn >= 50 THEN round(m50, 7) END AS sma_50,
+SELECT file_id, date, CASE WHEN rn >= 20 THEN round(m20, 8) END AS sma_20, CASE WHEN rn >= 50 THEN round(m50, 8) END AS sma_50,
   CASE WHEN rn >= 15 THEN CASE WHEN l > 0 THEN round(100 - 100 / (1 + g / l), 7) ELSE 100.0 END END AS rsi_14,
   CASE WHEN rn >= 20 THEN round(m20 + 2 * sd, 7) END AS bb_high, CASE WHEN rn >= 20 THEN round(m20 - 2 * sd, 7) + 0.0 END AS bb_low,
-  CASE WHEN rn >= 14 THEN round(atr, 7) END AS atr_14, round(close / hi - 1, 7) + 0.0 AS from_high, CASE WHEN rn >= 22 THEN round(sk, 7) + 0.0 END AS skew_21 FROM f""", digits=7)
+  CASE WHEN rn >= 14 THEN round(atr, 7) END AS atr_14, round(close / hi - 1, 7) + 0.0 AS from_high, CASE WHEN rn >= 22 THEN round(sk, 7) + 0.0 END AS skew_21 FROM f""", digits=8)
 def technicals(spark: SparkSession, d: str) -> DataFrame:
-    return fx.technicals(bars(spark, d)).select("file_id", "date", "sma_20", "sma_50", "rsi_14", "bb_high", "bb_low", "atr_14", "from_high", "skew_21")
+    seven = [F.round(c, 7).alias(c) for c in ("rsi_14", "bb_high", "bb_low", "atr_14", "from_high", "skew_21")]
+    return fx.technicals(bars(spark, d)).select("file_id", "date", "sma_20", "sma_50", *seven)
 
 
 @query(f"""
