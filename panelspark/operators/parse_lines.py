@@ -96,6 +96,7 @@ def failing_lines(lines: DataFrame) -> DataFrame:
     The first reason that applies: quoting, columns (blank and null lines, and lines of files without a header,
     included), datetime, close. Repeated rows come out once; an empty table gives an empty result.
     """
+    lines = lines.select("line_id", "file_name", "line_no", "line")
     good = load_rows(lines).select(F.col("line_id").alias("_good")).distinct()
     rest = lines.join(good, F.col("line_id").eqNullSafe(F.col("_good")), "left_anti")
     judged = _judged(rest)  # the headers are among the rest
