@@ -11,41 +11,38 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import join_dimension
 
-_MASK = "￿"  # a code point that is no character, in place of separators within quotes
-_DATE = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T]([01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?$"
-_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+#: Code points that are no characters, in place of `,` and `;` within quotes.
+_MASKS = "\uffff\ufffe"
+_DATE = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T]([01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?\z"
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t]+|[ \t]+$", "")
+    return F.regexp_replace(c, r"^[ \t]+|[ \t]+\z", "")
 
 
 def _fields(line: Column, sep: Column) -> Column:
     """The raw fields of a line: cut at separators outside quotes."""
-    inner = F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 1, F.translate(p, ",;", _MASK + "￾")).otherwise(p))
+    inner = F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 1, F.translate(p, ",;", _MASKS)).otherwise(p))
     return F.when(F.instr(line, '"') == 0, F.split(line, sep, -1)).otherwise(F.split(F.array_join(inner, '"'), sep, -1))
 
 
 def _value(field: Column) -> Column:
     """A raw field without blanks around it and without its quotes."""
     f = _strip(field)
-    bare = F.replace(F.regexp_extract(f, r'(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
-    return _strip(F.translate(F.when(f.startswith('"'), bare).otherwise(f), _MASK + "￾", ",;"))
+    bare = F.replace(F.regexp_extract(f, r'(?s)^"(.*)"\z', 1), F.lit('""'), F.lit('"'))
+    return _strip(F.translate(F.when(f.startswith('"'), bare).otherwise(f), _MASKS, ",;"))
 
 
 def _well_quoted(line: Column, sep: Column) -> Column:
     """Quotes as in RFC 4180: they open at a field's start and close at its end; within, a quote is doubled."""
     parts = F.split(line, '"', -1)
     n = F.size(parts)
-
-    def outer(p: Column, i: Column) -> Column:
-        opens = (i == 0) & ((p == "") | F.endswith(p, sep))
-        closes = (i == n - 1) & ((p == "") | F.startswith(p, sep))
-        between = (i > 0) & (i < n - 1) & ((p == "") | (F.startswith(p, sep) & F.endswith(p, sep)))
-        return (i % 2 == 1) | opens | closes | between
-
-    checks = F.transform(parts, outer)
-    return (F.instr(line, '"') == 0) | ((n % 2 == 1) & F.forall(checks, lambda x: x))
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    ends = ((first == "") | F.endswith(first, sep)) & ((last == "") | F.startswith(last, sep))
+    between = F.slice(parts, 2, F.greatest(n - 2, F.lit(0)))  # from the first quoted part on, every second one is outside quotes
+    checks = F.transform(between, lambda p, i: (i % 2 == 0) | (p == "") | (F.startswith(p, sep) & F.endswith(p, sep)))
+    return (F.instr(line, '"') == 0) | ((n % 2 == 1) & ends & F.forall(checks, lambda x: x))
 
 
 def _real_datetime(v: Column) -> Column:
@@ -60,7 +57,7 @@ def _finite(v: Column) -> Column:
 def headers(lines: DataFrame) -> DataFrame:
     """(file_name, sep, n_cols, at_datetime, at_close) of each file: from its line 1, positions from 1, 0 where there is none."""
     h = lines.filter("line_no = 1 AND line IS NOT NULL AND file_name IS NOT NULL").groupBy("file_name").agg(F.min("line").alias("line"))
-    h = h.withColumn("line", F.regexp_replace("line", "^﻿|\r$", ""))
+    h = h.withColumn("line", F.regexp_replace("line", r"^\x{FEFF}|\r\z", ""))
     count = lambda ch: F.length("line") - F.length(F.replace("line", F.lit(ch), F.lit("")))
     h = h.withColumn("sep", F.when(count(";") > count(","), ";").otherwise(","))
     names = F.transform(_fields(F.col("line"), F.col("sep")), lambda f: F.lower(_value(f)))
@@ -72,7 +69,7 @@ def headers(lines: DataFrame) -> DataFrame:
 def _judged(lines: DataFrame) -> DataFrame:
     """Lines after the header, with the layout of their file and their parsed parts."""
     body = lines.select("line_id", "file_name", "line_no", "line").filter("line_no IS NULL OR line_no <> 1")
-    body = body.withColumn("body", F.regexp_replace(F.coalesce("line", F.lit("")), "\r$", ""))
+    body = body.withColumn("body", F.regexp_replace(F.coalesce("line", F.lit("")), r"\r\z", ""))
     joined = join_dimension(body, headers(lines), "file_name", "left")
     sep = F.coalesce("sep", F.lit(","))
     parts = joined.withColumn("quoted_well", _well_quoted(F.col("body"), sep)).withColumn("f", _fields(F.col("body"), sep))

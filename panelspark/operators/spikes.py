@@ -143,14 +143,15 @@ def standstills(x: np.ndarray, before: tuple[int, float] | None, after: tuple[in
     if len(full) == 1 and joins_before and joins_after:
         full[0] = n + before[0] + after[0]
     last = after is None or (joins_after and after[2])
-    usual = length[:-1] if last and len(length) > 1 else length
-    for _ in range(6):
+    runs = length[:-1] if last and len(length) > 1 else length
+    usual = runs[runs < least]  # from the short runs up to the fixed point, so that a long one never makes itself usual
+    for _ in range(20):
         p = (float((usual - 1).sum()) + 0.5) / (float(usual.sum()) + 1)
         limit = 1 + (log10_chance - math.log10(n)) / math.log10(p)
-        kept = usual[usual <= max(limit, least - 1)]
-        if len(kept) == len(usual) or not len(kept):
+        more = runs[runs < max(limit, least)]
+        if len(more) == len(usual):
             break
-        usual = kept
+        usual = more
     stuck = full >= max(limit, least)
     if last:
         stuck[-1] = False
