@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import join_dimension
+from ..sources.tables import computed_once, join_dimension
 
 #: Code points that are no characters, in place of `,` and `;` within quotes.
 _MASKS = "\uffff\ufffe"
@@ -81,7 +81,8 @@ def _judged(lines: DataFrame) -> DataFrame:
 
 def load_rows(lines: DataFrame) -> DataFrame:
     """(line_id, file_name, line_no, datetime, close): the lines that conform in all respects, one row per line_id."""
-    ok = _judged(lines).filter("quoted_well AND counted_well").filter(_real_datetime(F.col("datetime")) & _finite(F.col("close")))
+    conforms = F.col("quoted_well") & F.col("counted_well") & _real_datetime(F.col("datetime")) & _finite(F.col("close"))
+    ok = computed_once(_judged(lines), "conforms", conforms).filter("conforms")
     stamp = F.to_timestamp(F.concat(F.substring("datetime", 1, 10), F.lit(" "), F.rpad(F.substring("datetime", 12, 8), 8, ":00")))
     whole = F.when(F.length("datetime") == 10, F.to_timestamp(F.col("datetime"))).otherwise(stamp)
     return ok.select("line_id", "file_name", "line_no", whole.alias("datetime"), F.col("close").cast("double").alias("close")).distinct()
@@ -103,4 +104,5 @@ def failing_lines(lines: DataFrame) -> DataFrame:
         .when(~_real_datetime(F.col("datetime")), "datetime")
         .when(~_finite(F.col("close")), "close")
     )
-    return judged.select("line_id", "file_name", "line_no", "line", reason.alias("reason")).filter("reason IS NOT NULL").distinct()
+    reasoned = computed_once(judged, "reason", reason).filter("reason IS NOT NULL")
+    return reasoned.select("line_id", "file_name", "line_no", "line", "reason").distinct()

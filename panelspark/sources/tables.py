@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a dimension is broadcast; checked by counting at most this many, never assumed.
@@ -23,6 +23,11 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: filters on it stay above, its inputs are not written out into it."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
+
+
 def join_dimension(big: DataFrame, dim: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """big joined with a table that has one row per key.
 
