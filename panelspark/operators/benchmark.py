@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_single
 from .panel import by, so_far
 
 
@@ -26,7 +27,7 @@ def turnover(weights: DataFrame) -> DataFrame:
     moves = x.select("algo_id", F.explode(F.array(F.struct(F.col("date").alias("date"), F.col("w").alias("dw")), F.struct(F.col("next").alias("date"), (-F.col("w")).alias("dw")))).alias("m"))
     change = moves.select("algo_id", "m.*").filter("date IS NOT NULL").groupBy("date", "algo_id").agg(F.sum("dw").alias("dw"))
     first = days.agg(F.min("date").alias("_first"))
-    out = change.groupBy("date").agg((F.sum(F.abs("dw")) / 2).alias("turnover")).join(F.broadcast(first))
+    out = with_single(change.groupBy("date").agg((F.sum(F.abs("dw")) / 2).alias("turnover")), first)
     return out.select("date", F.when(F.col("date") == F.col("_first"), 0.0).otherwise(F.col("turnover")).alias("turnover"))
 
 
@@ -109,5 +110,5 @@ def recovery(series: DataFrame, value: str, near: float = -0.001) -> DataFrame:
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     x = series.withColumn("dd", F.col(value) / F.max(value).over(w) - 1)
     low = x.agg(F.min("dd").alias("max_drawdown"), F.min_by("date", F.struct("dd", "date")).alias("trough"))
-    after = x.join(F.broadcast(low)).filter((F.col("date") > F.col("trough")) & (F.col("dd") > near)).agg(F.min("date").alias("recovered"))
-    return low.join(F.broadcast(after)).select("trough", "max_drawdown", "recovered", F.datediff("recovered", "trough").alias("days"))
+    after = with_single(x, low).filter((F.col("date") > F.col("trough")) & (F.col("dd") > near)).agg(F.min("date").alias("recovered"))
+    return with_single(low, after).select("trough", "max_drawdown", "recovered", F.datediff("recovered", "trough").alias("days"))

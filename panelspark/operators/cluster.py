@@ -13,6 +13,8 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_single
+
 
 def vectors(df: DataFrame, key: str, features: list[str], robust: bool = True) -> DataFrame:
     """(key, features...) with nulls replaced by the median and scaled: by median and quartile distance, else mean and deviation."""
@@ -21,7 +23,7 @@ def vectors(df: DataFrame, key: str, features: list[str], robust: bool = True) -
     for c in features:
         stats += [F.expr(f"percentile({c}, 0.5)").alias(f"{c}_m"), F.expr(f"percentile({c}, 0.75) - percentile({c}, 0.25)").alias(f"{c}_q"), F.avg(c).alias(f"{c}_a"), F.stddev_pop(c).alias(f"{c}_s")]
     s = x.agg(*stats)
-    j = x.join(F.broadcast(s))
+    j = with_single(x, s)
     out = []
     for c in features:
         mid, width = (f"{c}_m", f"{c}_q") if robust else (f"{c}_a", f"{c}_s")
@@ -69,7 +71,8 @@ def quality(df: DataFrame, features: list[str], label: str = "label") -> DataFra
     g = x.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("sq").alias("q"), *sums)
     g = g.select(F.col("c").alias("o"), "n", "q", F.array(*(f"s{i}" for i in range(len(features)))).alias("s"))
     dot = F.aggregate(F.zip_with("x", "s", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    per = x.join(F.broadcast(g)).withColumn("d", F.col("sq") * F.col("n") - 2 * dot + F.col("q"))  # one row a cluster
+    clusters = g.agg(F.collect_list(F.struct("o", "n", "q", "s")).alias("g"))  # one element a cluster
+    per = with_single(x, clusters).withColumn("g", F.explode("g")).select("c", "x", "sq", "id", "g.*").withColumn("d", F.col("sq") * F.col("n") - 2 * dot + F.col("q"))
     own = F.col("o") == F.col("c")
     mean = F.when(own, F.col("d") / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(F.col("d") / F.col("n"))
     ab = per.withColumn("m", mean).groupBy("id").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
@@ -85,7 +88,7 @@ def quality(df: DataFrame, features: list[str], label: str = "label") -> DataFra
     dist = F.sqrt(F.aggregate(F.zip_with("a.mu", "b.mu", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda acc, v: acc + v))
     pair = a.join(b, F.col("a.o") != F.col("b.o")).select(F.col("a.o").alias("o"), ((F.col("a.r") + F.col("b.r")) / F.when(dist > 0, dist)).alias("v"))  # clusters, not rows
     db = pair.groupBy("o").agg(F.max("v").alias("v")).agg(F.avg("v").alias("davies_bouldin"))
-    return ch.join(F.broadcast(db)).join(F.broadcast(sil))
+    return with_single(with_single(ch, db), sil)
 
 
 def density(df: DataFrame, key: str, features: list[str], eps: float, least: int, cell: float | None = None) -> DataFrame:

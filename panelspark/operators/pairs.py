@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_single
+
 
 def busiest(panel: DataFrame, top: int, key: str = "algo_id") -> DataFrame:
     """(key): the `top` entities with the most rows, ties by key."""
@@ -84,7 +86,7 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, n): equal-width bins from the least to the greatest value, the last one closed."""
     lim = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = df.filter(F.col(value).isNotNull()).join(F.broadcast(lim))
+    x = with_single(df.filter(F.col(value).isNotNull()), lim)
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.when(width > 0, width)), F.lit(bins - 1))
     return x.groupBy(F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -153,7 +155,7 @@ def diversification(moments_: DataFrame) -> DataFrame:
     s = own.agg(F.sum(F.sqrt("v")).alias("sd"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
     c = x.agg(F.sum("cov").alias("c"))
     total = F.col("v") + 2 * F.col("c")
-    return s.join(F.broadcast(c)).select(F.when((F.col("n") >= 2) & (total > 0), F.col("sd") / F.sqrt(F.when(total > 0, total))).otherwise(1.0).alias("ratio"), "n")
+    return with_single(s, c).select(F.when((F.col("n") >= 2) & (total > 0), F.col("sd") / F.sqrt(F.when(total > 0, total))).otherwise(1.0).alias("ratio"), "n")
 
 
 def cointegration(prices: DataFrame, pairs: DataFrame, least: int = 60) -> DataFrame:

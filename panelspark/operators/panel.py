@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..sources.tables import with_single
+
 
 def by(key: str | list[str], order: str | list[str] = "date") -> WindowSpec:
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([order] if isinstance(order, str) else order))
@@ -80,7 +82,7 @@ def densify(panel: DataFrame, key: str, value: str, fill: Column | None = None)
     days = panel.select("date").distinct()
     calendar = days.agg(F.array_sort(F.collect_set("date")).alias("days"))  # one row, one date per day on record
     span = panel.groupBy(key).agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    grid = span.join(F.broadcast(calendar)).select(key, F.explode(F.filter("days", lambda x: (x >= F.col("a")) & (x <= F.col("z")))).alias("date"))
+    grid = with_single(span, calendar).select(key, F.explode(F.filter("days", lambda x: (x >= F.col("a")) & (x <= F.col("z")))).alias("date"))
     out = grid.join(panel.select(key, "date", value, F.lit(True).alias("present")), [key, "date"], "left")
     filled = F.coalesce(F.col(value), fill) if fill is not None else F.col(value)
     return out.select(key, "date", filled.alias(value), F.coalesce("present", F.lit(False)).alias("present"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_single
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", fallback: str = "null", strict: bool = False) -> DataFrame:
     """left with `values` of the right row nearest in time: the last one at or before (backward) or the first one at or after (forward).
@@ -43,7 +45,7 @@ def clean_trade_dates(trades: DataFrame) -> DataFrame:
     """
     t = trades.filter("date_open IS NOT NULL AND algo_id IS NOT NULL")
     latest = trades.filter("date_open IS NOT NULL").agg(F.max(F.col("date_close").cast("date")).alias("_latest"))  # a single row
-    t = t.join(F.broadcast(latest)).withColumn("day_open", F.col("date_open").cast("date"))
+    t = with_single(t, latest).withColumn("day_open", F.col("date_open").cast("date"))
     return t.withColumn("day_close", F.greatest("day_open", F.coalesce(F.col("date_close").cast("date"), F.col("_latest")))).drop("_latest")
 
 
@@ -59,7 +61,7 @@ def active_days(trades: DataFrame, days: DataFrame, measure: str) -> DataFrame:
     moves = trades.select("algo_id", F.explode(F.array(first, after)).alias("m")).groupBy("algo_id", "m.date").agg(F.sum("m.n").alias("dn"), F.sum("m.v").alias("dv"))
     span = moves.groupBy("algo_id").agg(F.min("date").alias("a"), F.max("date").alias("z"))
     calendar = days.agg(F.array_sort(F.collect_set("date")).alias("d"))  # one row, one date per day on record
-    asked = span.join(F.broadcast(calendar)).select("algo_id", F.explode(F.filter("d", lambda x: (x >= F.col("a")) & (x < F.col("z")))).alias("date"), F.lit(True).alias("asked"))
+    asked = with_single(span, calendar).select("algo_id", F.explode(F.filter("d", lambda x: (x >= F.col("a")) & (x < F.col("z")))).alias("date"), F.lit(True).alias("asked"))
     both = moves.unionByName(asked, allowMissingColumns=True).groupBy("algo_id", "date").agg(F.sum("dn").alias("dn"), F.sum("dv").alias("dv"), F.max("asked").alias("asked"))
     w = Window.partitionBy("algo_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     run = both.withColumn("n", F.sum("dn").over(w)).withColumn("total", F.sum("dv").over(w))

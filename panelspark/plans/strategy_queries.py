@@ -11,6 +11,7 @@ from ..operators import backtest as bt
 from ..operators import panel as px
 from ..operators import regimes as rg
 from ..operators import temporal as tp
+from ..sources.tables import with_single
 from .base import FAMILIES, MARKET, NATION_PRICES, PANEL, Registry, families, market, nation_panel, panel
 
 query = Registry()
@@ -328,7 +329,7 @@ def cluster_alpha_scores(spark: SparkSession, d: str) -> DataFrame:
     wk = panel(spark, d).groupBy("algo_id", week.alias("week_end")).agg((F.product(1 + F.col("ret")) - 1).alias("r"))
     j = weekly_labels(spark, d).join(wk, ["algo_id", "week_end"])
     latest = j.agg(F.max("week_end").alias("z"))
-    s = j.filter("label <> 'inactive'").join(F.broadcast(latest)).withColumn("w", F.exp(-F.datediff("z", "week_end") / 90.0))
+    s = with_single(j.filter("label <> 'inactive'"), latest).withColumn("w", F.exp(-F.datediff("z", "week_end") / 90.0))
     return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("score"))
 
 
@@ -339,7 +340,7 @@ def family_filter(spark: SparkSession, d: str) -> DataFrame:
     s = panel(spark, d).join(families(spark, d), "algo_id").groupBy("algo_id", "family").agg(F.avg("ret").alias("a"), F.stddev_samp("ret").alias("b"))
     m = s.withColumn("x", F.col("a") / F.when(F.col("b") != 0, F.col("b"))).groupBy("family").agg(F.expr("percentile(x, 0.5)").alias("median_score"), F.count(F.lit(1)).alias("n"))
     mid = m.agg(F.expr("percentile(median_score, 0.5)").alias("mid"))
-    return m.join(F.broadcast(mid)).select("family", "median_score", "n", (F.col("median_score") >= F.col("mid")).alias("kept"))
+    return with_single(m, mid).select("family", "median_score", "n", (F.col("median_score") >= F.col("mid")).alias("kept"))
 
 
 @query(f"""
@@ -350,4 +351,4 @@ def quantile_buckets(spark: SparkSession, d: str) -> DataFrame:
     u = panel(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("k"), F.avg("ret").alias("m"))
     q = u.agg(*(F.expr(f"percentile(k, {p})").alias(n) for p, n in ((0.2, "a"), (0.4, "b"), (0.6, "c"), (0.8, "e"))))
     bucket = F.when(F.col("k") <= F.col("a"), 1).when(F.col("k") <= F.col("b"), 2).when(F.col("k") <= F.col("c"), 3).when(F.col("k") <= F.col("e"), 4).otherwise(5)
-    return u.join(F.broadcast(q)).withColumn("bucket", bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.avg("m").alias("mean_ret"))
+    return with_single(u, q).withColumn("bucket", bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.avg("m").alias("mean_ret"))

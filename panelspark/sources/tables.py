@@ -23,6 +23,13 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def with_single(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a DataFrame of exactly one row, by a scalar subquery."""
+    row = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    out = df.withColumn("_one", row)
+    return out.withColumns({c: F.col("_one")[c] for c in one.columns}).drop("_one")
+
+
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once a row: filters on it stay above, its inputs are not written out into it."""
     return df.withColumn(name, F.explode_outer(F.array(value)))
