@@ -92,9 +92,9 @@ def quality(df: DataFrame, features: list[str], label: str = "label") -> DataFra
 
 
 def density(df: DataFrame, key: str, features: list[str], eps: float, least: int, cell: float | None = None) -> DataFrame:
-    """(key, label) of DBSCAN, noise -1: rows meet only within neighbouring cells of the first two features; components by label passing.
+    """(key, label) of DBSCAN as text, noise -1: rows meet only within neighbouring cells of the first two features; components by label passing.
 
-    Labels are the least key index of a component's core rows. Passing runs until no label changes; each round is cut
+    A label is the least key of a component's core rows. Passing runs until no label changes; each round is cut
     to the shared folder.
     """
     from ..session import cut_lineage
@@ -118,7 +118,7 @@ def density(df: DataFrame, key: str, features: list[str], eps: float, least: int
             break
     border = links.join(labels.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("l").alias("l"))
     out = x.select("k").join(labels.withColumnRenamed("l", "l1"), "k", "left").join(border, "k", "left")
-    return out.select(F.col("k").alias(key), F.coalesce("l1", "l", F.lit(-1)).alias("label"))
+    return out.select(F.col("k").alias(key), F.coalesce(F.coalesce("l1", "l").cast("string"), F.lit("-1")).alias("label"))
 
 
 def agglomerate(df: DataFrame, key: str, features: list[str], k: int, top: int = 2000) -> DataFrame:

@@ -179,3 +179,115 @@ def cointegration(prices: DataFrame, pairs: DataFrame, least: int = 60) -> DataF
     error = F.sqrt(F.greatest(rss, F.lit(0.0)) / (F.col("m") - 2) / F.col("sxx"))
     half = F.when(F.col("phi") < 0, F.least(-F.ln(F.lit(2.0)) / F.when(F.col("phi") < 0, F.col("phi")), F.lit(9999.0))).otherwise(9999.0)
     return g.select("a", "b", "hedge", (F.col("phi") / F.when(error > 0, error)).alias("t_stat"), half.alias("half_life"), ((F.col("le") - F.col("me")) / F.when(F.col("se") > 0, F.col("se"))).alias("z"), "n")
+
+
+def cross_moments(left: DataFrame, right: DataFrame, block_days: int = 256) -> DataFrame:
+    """(a, b, n, sa, sb, saa, sbb, sab) of every left with every right entity (each k, date, v), over their common days, by blocks of dates.
+
+    What a block holds is its dates times the entities of both sides; the pairs are the result's own rows.
+    """
+    block = F.floor(F.unix_date("date") / block_days)
+    a, b = (x.select("k", "date", "v", block.alias("block")).filter("v IS NOT NULL") for x in (left, right))
+    columns = ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def gram(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=columns)
+        p, q = (z.pivot_table(index="date", columns="k", values="v", aggfunc="first") for z in (x, y))
+        days = p.index.intersection(q.index)
+        if not len(days):
+            return pd.DataFrame(columns=columns)
+        p, q = p.loc[days], q.loc[days]
+        u, v = p.to_numpy(float), q.to_numpy(float)
+        hu, hv = (~np.isnan(u)).astype(float), (~np.isnan(v)).astype(float)
+        u, v = np.nan_to_num(u), np.nan_to_num(v)
+        n = hu.T @ hv
+        i, j = np.nonzero(n)
+        return pd.DataFrame({"a": p.columns.to_numpy()[i], "b": q.columns.to_numpy()[j], "n": n[i, j], "sa": (u.T @ hv)[i, j], "sb": (hu.T @ v)[i, j], "saa": ((u * u).T @ hv)[i, j], "sbb": (hu.T @ (v * v))[i, j], "sab": (u.T @ v)[i, j]})
+
+    parts = a.groupBy("block").cogroup(b.groupBy("block")).applyInPandas(gram, "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double")
+    return parts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in columns[2:]))
+
+
+def screen(left: DataFrame, right: DataFrame, k: int, least: int = 20) -> DataFrame:
+    """(a, b, corr, n, rank): per left entity the k strongest correlated right ones with at least `least` common days."""
+    m = cross_moments(left, right).filter(F.col("n") >= least).withColumn("corr", F.round(corr_column(), 9)).filter("corr IS NOT NULL")
+    w = Window.partitionBy("a").orderBy(F.abs("corr").desc(), "b")
+    return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a", "b", "corr", F.col("n").cast("long").alias("n"), "rank")
+
+
+def signals(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, pearson, spearman, beta, agreement, n) for the given pairs on their common days; beta: sample covariance over population variance."""
+    j = pairs.select("a", "b").join(left.select(F.col("k").alias("a"), "date", F.col("v").alias("x")), "a").join(right.select(F.col("k").alias("b"), "date", F.col("v").alias("y")), ["b", "date"])
+    part = Window.partitionBy("a", "b")
+
+    def rank(c: str) -> Column:
+        return F.rank().over(part.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("a", "b", c)) - 1) / 2.0
+
+    j = j.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
+    v = F.var_pop("y")
+    same = F.when((F.col("x") != 0) & (F.col("y") != 0), (F.signum("x") == F.signum("y")).cast("int"))
+    return j.groupBy("a", "b").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), (F.covar_samp("x", "y") / F.when(v > 0, v)).alias("beta"), F.avg(same).alias("agreement"), F.count(F.lit(1)).alias("n"))
+
+
+def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction."""
+    from math import lgamma
+
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, t = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    t = np.clip(t, 1e-300, 1 - 1e-16)
+    front = np.exp(np.array([lgamma(u + w) - lgamma(u) - lgamma(w) for u, w in zip(p, q)]) + p * np.log(t) + q * np.log1p(-t)) / p
+    c, d = np.ones_like(t), 1 / np.where(np.abs(1 - (p + q) * t / (p + 1)) < 1e-300, 1e-300, 1 - (p + q) * t / (p + 1))
+    h = d.copy()
+    for m in range(1, 200):
+        for num in (m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / np.where(np.abs(1 + num * d) < 1e-300, 1e-300, 1 + num * d)
+            c = np.where(np.abs(1 + num / c) < 1e-300, 1e-300, 1 + num / c)
+            h *= d * c
+    out = front * h
+    return np.where(flip, 1 - out, out)
+
+
+def p_value(corr: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of a correlation over n observations, by Student's t; missing below three observations."""
+    r, k = corr.to_numpy(float), n.to_numpy(float) - 2
+    ok = (k > 0) & np.isfinite(r)
+    out = np.full(len(r), np.nan)
+    rr = np.clip(np.abs(r[ok]), 0, 1 - 1e-15)
+    t2 = rr * rr * k[ok] / (1 - rr * rr)
+    out[ok] = _incomplete_beta(k[ok] / 2, 0.5, k[ok] / (k[ok] + t2))
+    return pd.Series(out)
+
+
+def with_p_value(df: DataFrame, corr: str = "corr", n: str = "n") -> DataFrame:
+    f = F.pandas_udf(p_value, "double")
+    return df.withColumn("p_value", f(F.col(corr), F.col(n).cast("double")))
+
+
+def first_component_share(panel: DataFrame, top: int, days: int, least: int = 3) -> DataFrame:
+    """(date, share): the first principal component's share of the variance of the `days` dates before, standardised, over complete columns."""
+    few = busiest(panel, top)
+    x = panel.join(F.broadcast(few), "algo_id").filter("ret IS NOT NULL").select("algo_id", "date", "ret")
+    order = x.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # one row a date on record
+    size = max(4 * days, 256)
+    blocks = x.join(order, "date").withColumn("block", F.explode(F.sequence(F.floor(F.col("i") / size), F.floor((F.col("i") + days) / size))))
+
+    def windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dates = pdf[["i", "date"]].drop_duplicates().set_index("i")["date"]
+        m = pdf.pivot_table(index="i", columns="algo_id", values="ret", aggfunc="first")
+        m = m.reindex(range(int(m.index.min()), int(m.index.max()) + 1))
+        v, start, out = m.to_numpy(float), int(m.index[0]), []
+        for t in range(key[0] * size, (key[0] + 1) * size):
+            hi = t - start
+            if t not in dates.index or t < days or hi < days:
+                continue
+            w = v[hi - days : hi]
+            w = w[:, ~np.isnan(w).any(0)]
+            w = w[:, w.std(0) > 1e-12] if w.size else w
+            if w.shape[1] >= least and len(w) >= 10:
+                e = np.linalg.eigvalsh(np.corrcoef(w, rowvar=False))
+                out.append((dates[t], float(e[-1] / e.sum())))
+        return pd.DataFrame(out, columns=["date", "share"])
+
+    return blocks.groupBy("block").applyInPandas(windows, "date date, share double")

@@ -102,20 +102,20 @@ def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int) -> np.ndarray:
     rest = log - running_median(log, few)
     rest = rest - seasonal(rest, ts)
     mad = 1.4826 * float(np.median(np.abs(rest - np.median(rest))))
-    extreme = gesd(rest, max(mad, 0.5 * move))
+    extreme = gesd(rest, max(mad, 0.5 * move)) & (np.abs(rest) > far / 2 * move)
     if not extreme.any():
         return out
-    idx = np.flatnonzero(extreme)
+    groups = lambda mask: np.split(np.flatnonzero(mask), np.flatnonzero(np.diff(np.flatnonzero(mask)) > 1) + 1)
+    for g in groups(extreme):  # beside a far reading, those not half as far are its neighbours, not its company
+        extreme[g] = np.abs(rest[g]) >= np.abs(rest[g]).max() / 2
     calm = np.flatnonzero(~extreme)
-    groups = np.split(idx, np.flatnonzero(np.diff(idx) > 1) + 1)
-    for g in groups:
-        # Readings at the edge of an excursion may be ordinary ones: each reading is held against the calm level on both sides.
+    for g in groups(extreme):
         at = np.searchsorted(calm, g[0])
-        before, after = calm[max(0, at - few) : at], calm[at : at + few]
+        before, after = calm[max(0, at - 3) : at], calm[at : at + 3]
         if not len(before) or not len(after) or len(g) > few:
             continue
         lo, hi = float(np.median(log[before])), float(np.median(log[after]))
-        off = np.minimum(np.abs(log[g] - lo), np.abs(log[g] - hi))
+        off = np.abs(log[g] - (lo + hi) / 2)
         out[g] = (off > far * move) & (abs(hi - lo) < off / 2)
     return out
 
@@ -272,7 +272,7 @@ def _exchange(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
-def implausible(readings: DataFrame, ends: DataFrame, far: float = 12.0, few: int = 5, far_end: float = 20.0, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def implausible(readings: DataFrame, ends: DataFrame, far: float = 13.0, few: int = 5, far_end: float = 20.0, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(tab, rec_id, reason): the records that do not fit the normal behaviour of their own source.
 
     readings: source long, ts, rec_id long, value; reported as tab `ohlc` with reason range (not a positive finite
