@@ -79,6 +79,21 @@ class StrongestCut:
         return best
 
 
+class Boundaries:
+    """The strongest cut of any range of a long text: a StrongestCut of one segment at a time, so that memory is bounded."""
+
+    SEGMENT = 1 << 16
+
+    def __init__(self, s: np.ndarray, widest: int):
+        self.s, self.widest, self.base, self.table = s, widest, 0, None
+
+    def best(self, lo: int, hi: int) -> int:
+        if self.table is None or lo < self.base or hi >= self.base + len(self.table.s):
+            self.base = lo
+            self.table = StrongestCut(self.s[lo : max(hi + 1, lo + self.SEGMENT)], self.widest)
+        return self.base + self.table.best(lo - self.base, hi - self.base)
+
+
 def pieces(text: str | None, v: Vocabulary, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
     """(first byte, end byte, tokens, tokens repeated) of the pieces of a text; none if it has at most `limit` tokens.
 
@@ -93,7 +108,7 @@ def pieces(text: str | None, v: Vocabulary, limit: int = LIMIT, overlap: int = O
     data = text.encode("utf-8", "surrogatepass")
     at = np.concatenate([[0], np.cumsum(v.n_bytes[ids])])
     s = strengths(data)[at]
-    table = StrongestCut(s, limit)
+    table = Boundaries(s, limit)
     size = lambda a, b: len(v.encode(data[at[a] : at[b]].decode("utf-8", "surrogatepass")))
     out, start, end, repeated = [], 0, 0, 0
     while end < n:

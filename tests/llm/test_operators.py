@@ -128,3 +128,13 @@ def test_mixture_of_nothing_and_repeats(spark):
     odd = spark.createDataFrame([("big", None, 1), (None, 0.5, 1), ("mid", 0.5, None)], "source string, target_share double, max_repeat int")
     assert mix.mix(docs(spark, rows), odd).count() == 0
     assert twice.filter(F.col("doc_id").isNull()).count() == 0
+
+
+def test_boundaries_by_segments():
+    rng = np.random.default_rng(4)
+    s = rng.integers(-1, 7, 2000).astype(np.int8)
+    b = split.Boundaries(s, 64)
+    b.SEGMENT = 100
+    for lo in range(0, 1900, 7):
+        hi = lo + int(rng.integers(0, 90))
+        assert b.best(lo, hi) == max(range(lo, hi + 1), key=lambda i: (s[i], i))
