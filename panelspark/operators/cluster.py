@@ -37,13 +37,19 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def kmeans(df: DataFrame, key: str, features: list[str], k: int, seed: int = 42) -> DataFrame:
-    """(key, features..., label)."""
+    """(key, features..., label). With fewer distinct rows than k there are as many clusters as rows; an empty table stays empty."""
+    k = df.select(*features).distinct().limit(k).count()
+    if k < 2:
+        return df.select(key, *features).withColumn("label", F.lit(0))
     a = _assembled(df, features)
     return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="label").fit(a).transform(a).drop("_x")
 
 
 def mixture(df: DataFrame, key: str, features: list[str], k: int, seed: int = 42) -> DataFrame:
-    """(key, features..., label) of a Gaussian mixture."""
+    """(key, features..., label) of a Gaussian mixture; with fewer distinct rows than k as kmeans."""
+    k = df.select(*features).distinct().limit(k).count()
+    if k < 2:
+        return df.select(key, *features).withColumn("label", F.lit(0))
     a = _assembled(df, features)
     return GaussianMixture(k=k, seed=seed, featuresCol="_x", predictionCol="label", probabilityCol="_p").fit(a).transform(a).drop("_x", "_p")
 
