@@ -9,9 +9,9 @@ from ..operators import allocate as al
 from ..operators import backtest as bt
 from ..operators import panel as px
 from ..operators import swarm
-from .base import FAMILIES, MARKET, PANEL, TRADES, Registry, families, market, nation_panel, panel, trades
-from .benchmark_queries import _WEIGHTS, weights
-from .strategy_queries import _FACTORS, _HEURISTIC, heuristic, selected
+from .base import FAMILIES, MARKET, NATION_PRICES, PANEL, TRADES, Registry, families, market, nation_panel, panel, trades
+from .benchmark_queries import _ACTIVE, _FLOWS, _WEIGHTS, active, flows, weights
+from .strategy_queries import _FACTORS, _HEURISTIC, _STEP, _WEEKLY, _stepped, heuristic, selected, weekly_labels
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -152,3 +152,78 @@ def _searched(name: str, optimize) -> None:
 
 _searched("alloc_particle_swarm", swarm.particle_swarm)
 _searched("alloc_ant_colony", swarm.ant_colony)
+
+
+@query(f"""
+WITH {NATION_PRICES}, {_ACTIVE} SELECT a.date, round(sum(a.total * p.ret) / sum(a.total), 8) + 0.0 AS ret, count(*) AS n FROM active a JOIN panel p USING (date, algo_id) WHERE a.total > 0 GROUP BY a.date""", digits=8)
+def open_trades_return(spark: SparkSession, d: str) -> DataFrame:
+    """Per day the return of the capital in open trades."""
+    j = active(spark, d).join(nation_panel(spark, d).select("date", "algo_id", "ret"), ["date", "algo_id"]).filter("total > 0")
+    return j.groupBy("date").agg((F.sum(F.col("total") * F.col("ret")) / F.sum("total")).alias("ret"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {_FLOWS}, s AS (SELECT date, 1 - least(abs(flow) / nullif(abs(equity), 0), 0.9) AS scale FROM flows) SELECT date, round(scale, 8) AS scale FROM s""", digits=8)
+def cash_flow_scale(spark: SparkSession, d: str) -> DataFrame:
+    """The factor by which a day's volume weights shrink with its cash flow."""
+    share = F.abs("flow") / F.nullif(F.abs("equity"), F.lit(0.0))
+    return flows(spark, d).select("date", F.when(share.isNotNull(), 1 - F.least(share, F.lit(0.9))).alias("scale"))
+
+
+_HORIZONS = (
+    PANEL
+    + """, hz AS (SELECT algo_id, date, row_number() OVER o AS rn, avg(ret) OVER (o ROWS 4 PRECEDING) AS w, avg(ret) OVER (o ROWS 20 PRECEDING) AS m, avg(ret) OVER (o ROWS UNBOUNDED PRECEDING) AS c FROM panel WINDOW o AS (PARTITION BY algo_id ORDER BY date)),
+hl AS (SELECT algo_id, date, CASE WHEN rn >= 5 THEN CASE WHEN w > 1e-9 THEN 'up' ELSE 'down' END END AS weekly, CASE WHEN rn >= 21 THEN CASE WHEN m > 1e-9 THEN 'up' ELSE 'down' END END AS monthly, CASE WHEN c > 1e-9 THEN 'up' ELSE 'down' END AS cumulative FROM hz)"""
+)
+
+
+@query(f"""
+WITH {_HORIZONS} SELECT algo_id, date, CASE WHEN CAST(weekly IS NOT NULL AS INT) + CAST(monthly IS NOT NULL AS INT) + 1 < 2 THEN NULL ELSE coalesce(weekly, cumulative) = cumulative AND coalesce(monthly, cumulative) = cumulative END AS consistent FROM hl""")
+def horizon_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the labels of three horizons agree; null with fewer than two of them."""
+    w = px.by("algo_id")
+    label = lambda n: F.when(F.avg("ret").over(px.last_rows(w, n) if n else px.so_far(w)) > 1e-9, "up").otherwise("down")
+    x = panel(spark, d).withColumn("rn", F.row_number().over(w))
+    labels = F.array_compact(F.array(F.when(F.col("rn") >= 5, label(5)), F.when(F.col("rn") >= 21, label(21)), label(0)))
+    x = x.withColumn("l", labels)
+    return x.select("algo_id", "date", F.when(F.size("l") >= 2, F.size(F.array_distinct("l")) == 1).alias("consistent"))
+
+
+@query(f"""
+WITH {PANEL}, {FAMILIES}, s AS (SELECT algo_id, avg(ret) / nullif(stddev_samp(ret), 0) AS x FROM panel GROUP BY algo_id), g AS (SELECT 'universe' AS side, x FROM s UNION ALL SELECT 'trend', s.x FROM s JOIN fam USING (algo_id) WHERE family = 'trend')
+SELECT side, count(*) AS n, round(avg(x), 8) + 0.0 AS mean, round(quantile_cont(x, 0.25), 8) + 0.0 AS p25, round(quantile_cont(x, 0.5), 8) + 0.0 AS median, round(quantile_cont(x, 0.75), 8) + 0.0 AS p75 FROM g GROUP BY side""", digits=8)
+def group_against_universe(spark: SparkSession, d: str) -> DataFrame:
+    s = panel(spark, d).groupBy("algo_id").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("x"))
+    trend = s.join(families(spark, d).filter("family = 'trend'"), "algo_id", "left_semi")
+    g = s.select(F.lit("universe").alias("side"), "x").unionByName(trend.select(F.lit("trend").alias("side"), "x"))
+    q = [F.expr(f"percentile(x, {p})").alias(n) for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
+    return g.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), *q)
+
+
+@query(f"""
+WITH {_WEEKLY}, j AS (SELECT l.label, wk.r, wk.algo_id FROM lab l JOIN wk USING (algo_id, week_end))
+SELECT label, count(*) AS n, count(DISTINCT algo_id) AS algos, round(100.0 * count(*) / sum(count(*)) OVER (), 8) AS pct, round(avg(r), 8) + 0.0 AS mean, round(stddev_samp(r), 8) AS std FROM j GROUP BY label""", digits=8)
+def cluster_profiles(spark: SparkSession, d: str) -> DataFrame:
+    week = F.date_add(F.trunc(F.date_add("date", 2), "week"), 4)
+    wk = panel(spark, d).groupBy("algo_id", week.alias("week_end")).agg((F.product(1 + F.col("ret")) - 1).alias("r"))
+    g = weekly_labels(spark, d).join(wk, ["algo_id", "week_end"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("algo_id").alias("algos"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"))
+    return g.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+@query(f"""
+WITH {_HEURISTIC}, l AS (SELECT regime, date FROM regimes ORDER BY date DESC LIMIT 5), c AS (SELECT regime, count(*) AS n FROM l GROUP BY regime) SELECT arg_min(regime, (-n, regime)) AS regime, max(n) AS n FROM c""")
+def current_regime(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest of the last five labels, the first by name of equals."""
+    last = heuristic(spark, d).orderBy(F.col("date").desc()).limit(5)
+    return last.groupBy("regime").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("regime", F.struct(-F.col("n"), "regime")).alias("regime"), F.max("n").alias("n"))
+
+
+@query(f"""
+WITH {_STEP}, v AS (SELECT date, max(greatest(w - 0.28, 0)) AS a, max(greatest(0.08 - w, 0)) AS b, sum(w) - 0.9 AS c, sum(abs(w - current)) / 2 - 0.02 AS d FROM c4 GROUP BY date)
+SELECT date, a > 1e-6 AS max_weight, b > 1e-6 AS min_weight, c > 1e-6 AS exposure, d > 1e-6 AS turnover, round(least(greatest(a, 0) / 0.28, 1), 8) AS severity FROM v""", digits=8)
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Which limits a date's weights exceed, and how severely the greatest weight."""
+    x = _stepped(spark, d)
+    v = x.groupBy("date").agg(F.max(F.greatest(F.col("w") - 0.28, F.lit(0.0))).alias("a"), F.max(F.greatest(0.08 - F.col("w"), F.lit(0.0))).alias("b"), (F.sum("w") - 0.9).alias("c"), (F.sum(F.abs(F.col("w") - F.col("current"))) / 2 - 0.02).alias("e"))
+    over = lambda c, n: (F.col(c) > 1e-6).alias(n)
+    return v.select("date", over("a", "max_weight"), over("b", "min_weight"), over("c", "exposure"), over("e", "turnover"), F.least(F.col("a") / 0.28, F.lit(1.0)).alias("severity"))
