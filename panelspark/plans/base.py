@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import one_per_key, table
+from .days import as_text
 
 #: The panel: one row per algorithm and day with a return. An algorithm has at most one row a day, so its rows are bounded by the calendar.
 PANEL = """panel AS (
@@ -103,9 +104,17 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return daily_bars(one_per_key(o, ["bar_id"]), "file_id", tie="bar_id")
 
 
-def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
-    """df with its doubles rounded, no negative zeros, for comparison across engines."""
-    return df.select(*((F.round(c, other.get(c, digits)) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """df for comparison across engines: doubles rounded without negative zeros, days and instants as text."""
+
+    def plain(c: str, kind: str) -> Column:
+        if kind == "double":
+            return (F.round(c, digits) + F.lit(0.0)).alias(c)
+        if kind == "date":
+            return F.date_format(c, "yyyy-MM-dd").alias(c)
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if kind == "timestamp" else F.col(c)
+
+    return df.select(*(plain(c, kind) for c, kind in df.dtypes))
 
 
 class Registry:
@@ -116,13 +125,13 @@ class Registry:
         self.sql: dict[str, str] = {}
 
     def __call__(self, sql: str | None = None, digits: int = 6, name: str | None = None):
-        """Registers a function under its name; its doubles come out rounded."""
+        """Registers a function under its name; its doubles come out rounded, its days and instants as text."""
 
         def add(f):
             key = name or f.__name__
             self.queries[key] = lambda spark, d: rounded(f(spark, d), digits)
             if sql:
-                self.sql[key] = sql
+                self.sql[key] = as_text(key, sql)
             return f
 
         return add
