@@ -16,7 +16,7 @@ def plain(df):
     """Rows as sorted tuples of texts, doubles to nine digits."""
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "-"
         if isinstance(v, (float, np.floating)):
             return f"{v + 0.0:.9g}"
