@@ -272,7 +272,7 @@ def _exchange(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
-def implausible(readings: DataFrame, ends: DataFrame, far: float = 13.0, few: int = 5, far_end: float = 20.0, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: int = 5, far_end: float = 20.0, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(tab, rec_id, reason): the records that do not fit the normal behaviour of their own source.
 
     readings: source long, ts, rec_id long, value; reported as tab `ohlc` with reason range (not a positive finite

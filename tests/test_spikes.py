@@ -84,6 +84,20 @@ def test_null_source_few_readings_and_empty(spark):
     assert run(spark, {}) == set()
 
 
+def zigzag(n, seed=11, move=0.001):
+    """Log steps to and fro, each of about the usual move, without drift."""
+    return 100 * np.exp(np.resize([-0.5, 0.5], n) * move * np.random.default_rng(seed).uniform(0.9, 1.1, n))
+
+
+def test_over_ten_usual_moves_is_a_spike(spark):
+    v = zigzag(400)
+    move = sp.usual_move(np.log(v))
+    v[100] = 100 * np.exp(11.5 * move)
+    v[200] = 100 * np.exp(-11.0 * move)
+    v[300] = 100 * np.exp(9.0 * move)
+    assert {(i - 100_000, r) for _, i, r in run(spark, {1: v})} == {(100, "spike"), (200, "spike")}
+
+
 def test_t_quantile_and_limits():
     assert sp.t_quantile(0.975, np.array([10.0]))[0] == pytest.approx(2.228, abs=0.01)
     x = np.random.default_rng(0).normal(0, 1, 200)
