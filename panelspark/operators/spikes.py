@@ -106,17 +106,24 @@ def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int) -> np.ndarray:
     if not extreme.any():
         return out
     groups = lambda mask: np.split(np.flatnonzero(mask), np.flatnonzero(np.diff(np.flatnonzero(mask)) > 1) + 1)
-    for g in groups(extreme):  # beside a far reading, those not half as far are its neighbours, not its company
-        extreme[g] = np.abs(rest[g]) >= np.abs(rest[g]).max() / 2
-    calm = np.flatnonzero(~extreme)
-    for g in groups(extreme):
+
+    def returns(g: np.ndarray, calm: np.ndarray) -> np.ndarray:
         at = np.searchsorted(calm, g[0])
         before, after = calm[max(0, at - 3) : at], calm[at : at + 3]
         if not len(before) or not len(after) or len(g) > few:
-            continue
+            return np.zeros(len(g), bool)
         lo, hi = float(np.median(log[before])), float(np.median(log[after]))
         off = np.abs(log[g] - (lo + hi) / 2)
-        out[g] = (off > far * move) & (abs(hi - lo) < off / 2)
+        return (off > far * move) & (abs(hi - lo) < off / 2)
+
+    farthest = extreme.copy()
+    for g in groups(extreme):  # beside a far reading, those not half as far may be the level around it
+        farthest[g] = np.abs(rest[g]) >= np.abs(rest[g]).max() / 2
+    level, calm = np.flatnonzero(~farthest), np.flatnonzero(~extreme)
+    for g in groups(farthest):
+        out[g] = returns(g, level)
+    for g in groups(extreme):  # or bad readings of another size: all of them against the level around them all
+        out[g] |= returns(g, calm)
     return out
 
 

@@ -98,6 +98,15 @@ def test_over_ten_usual_moves_is_a_spike(spark):
     assert {(i - 100_000, r) for _, i, r in run(spark, {1: v})} == {(100, "spike"), (200, "spike")}
 
 
+def test_neighbouring_bad_readings_of_unlike_sizes(spark):
+    v = zigzag(400)
+    v[100:102] = 300, 150
+    v[200:203] = 140, 500, 70
+    v[300:308] = [300] + [103] * 7  # what stays seven readings is the level around the first
+    want = {100, 101, 200, 201, 202, 300}
+    assert {(i - 100_000, r) for _, i, r in run(spark, {1: v}) if r != "standstill"} == {(i, "spike") for i in want}
+
+
 def test_t_quantile_and_limits():
     assert sp.t_quantile(0.975, np.array([10.0]))[0] == pytest.approx(2.228, abs=0.01)
     x = np.random.default_rng(0).normal(0, 1, 200)
