@@ -3,13 +3,16 @@
 Per source: a robust seasonal-trend decomposition of the logarithm (running median; median by position in the day or
 week), generalised extreme studentised deviate limits on what remains, and then the test that a flagged excursion is
 far beyond the usual move and that the level returns after a few readings. Impossible values and runs of equal values
-are checked separately. A source with more than CHUNK_ROWS readings is cut along time; each chunk sees HALO readings
-of its neighbours and how far runs of equal values reach beyond it.
+are checked separately. A source with more than CHUNK_ROWS readings is cut along time into chunks of about as many
+rows; each chunk sees HALO readings of its neighbours and how far runs of equal values reach beyond it. What is usual
+(move, scale, seasonal medians, limits) is the whole source's: counted by chunk in narrow bins, added up, and handed to
+every chunk. The bins round a move by at most 1/8,192 of itself, a rest by at most 1/2,000 of a usual move (or of itself).
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
@@ -17,12 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import join_dimension, within
 
 #: Readings of one source in one chunk, about.
 CHUNK_ROWS = 50_000
 #: Readings of a neighbouring chunk that a chunk sees.
 HALO = 64
+#: Bins in one e-fold of a move; width of the bins of asinh(rest / usual move).
+MOVE_BINS, REST_BIN = 4096, 0.001
 
 
 def t_quantile(p: float, df: np.ndarray) -> np.ndarray:
@@ -35,6 +41,13 @@ def t_quantile(p: float, df: np.ndarray) -> np.ndarray:
     return z + g1 / df + g2 / df**2 + g3 / df**3
 
 
+def gesd_limits(n: int, at: np.ndarray, alpha: float = 0.05) -> np.ndarray:
+    """Limit of the generalised extreme studentised deviate after `at` removals from n values."""
+    left = n - at
+    t = t_quantile(1 - alpha / (2 * n), left - 2.0)
+    return (left - 1) * t / np.sqrt((left - 2 + t * t) * left)
+
+
 def gesd(values: np.ndarray, scale: float, share: float = 0.2, alpha: float = 0.05) -> np.ndarray:
     """Mask of the values beyond the generalised extreme studentised deviate limits, with median and a robust scale.
 
@@ -48,11 +61,7 @@ def gesd(values: np.ndarray, scale: float, share: float = 0.2, alpha: float = 0.
     r = np.abs(values - np.median(values)) / scale
     most = max(1, int(n * share))
     top = np.argsort(-r, kind="stable")[:most]
-    left = n - np.arange(most)
-    p = 1 - alpha / (2 * left[0])
-    t = t_quantile(p, left - 2.0)
-    limit = (left - 1) * t / np.sqrt((left - 2 + t * t) * left)
-    beyond = np.flatnonzero(r[top] > limit)
+    beyond = np.flatnonzero(r[top] > gesd_limits(n, np.arange(most), alpha))
     if len(beyond):
         out[top[: beyond[-1] + 1]] = True
     return out
@@ -66,6 +75,12 @@ def running_median(x: np.ndarray, half: int) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)
 
 
+def slots(ts: np.ndarray, gap: float) -> np.ndarray:
+    """Slot of the day, or the weekday of readings half a day apart or more."""
+    day = 86_400e6
+    return (ts % int(day)) // max(int(gap), int(day) // 96) if gap < day / 2 else ts // int(day) % 7
+
+
 def seasonal(rest: np.ndarray, ts: np.ndarray) -> np.ndarray:
     """Median of the detrended values by slot of the day, or by weekday for daily values; 0 unless it explains something."""
     none = np.zeros(len(rest))
@@ -74,8 +89,7 @@ def seasonal(rest: np.ndarray, ts: np.ndarray) -> np.ndarray:
     gap = float(np.median(np.diff(ts)))
     if gap <= 0:
         return none
-    day = 86_400e6
-    slot = (ts % int(day)) // max(int(gap), int(day) // 96) if gap < day / 2 else ts // int(day) % 7
+    slot = slots(ts, gap)
     codes, inverse, counts = np.unique(slot, return_inverse=True, return_counts=True)
     if len(codes) < 2 or np.median(counts) < 8:
         return none
@@ -92,17 +106,68 @@ def usual_move(log: np.ndarray) -> float:
     return float(np.median(d)) if len(d) else 0.0
 
 
-def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int) -> np.ndarray:
-    """Mask of the readings that depart from the level around them by more than far usual moves, for at most few readings."""
+def weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    up = np.cumsum(counts[order])
+    mid = np.searchsorted(up, [(up[-1] - 1) // 2, up[-1] // 2], side="right")
+    return float(values[order][mid].mean())
+
+
+def rest_keys(rest: np.ndarray, move: float) -> np.ndarray:
+    return np.rint(np.arcsinh(rest / move) / REST_BIN).astype(np.int64)
+
+
+def rest_values(keys: np.ndarray, move: float) -> np.ndarray:
+    return np.sinh(keys * REST_BIN) * move
+
+
+def usual_rest(slot: np.ndarray, keys: np.ndarray, counts: np.ndarray, n: int, move: float, gap: float) -> dict:
+    """Of a source's binned rests: seasonal shift by slot, centre and scale, and from how many scales on a rest is extreme.
+
+    The counterpart of seasonal() and gesd() on counts.
+    """
+    v = rest_values(keys, move)
+    mad = lambda x: weighted_median(np.abs(x - weighted_median(x, counts)), counts)
+    codes, inverse = np.unique(slot, return_inverse=True)
+    shift = np.zeros(len(codes))
+    if n >= 40 and gap > 0 and len(codes) > 1 and np.median(np.bincount(inverse, counts)) >= 8:
+        medians = np.array([weighted_median(v[inverse == i], counts[inverse == i]) for i in range(len(codes))])
+        medians -= np.median(medians)
+        if mad(v - medians[inverse]) < 0.9 * mad(v):
+            shift = medians
+    v = v - shift[inverse]
+    centre, scale, beyond = weighted_median(v, counts), max(1.4826 * mad(v), 0.5 * move), math.inf
+    if n >= 8:
+        r, back = np.unique(np.abs(v - centre) / scale, return_inverse=True)
+        r, upto = r[::-1], np.cumsum(np.bincount(back, counts)[::-1])
+        most = max(1, int(n * 0.2))
+        begins = np.concatenate([[0], upto[:-1]])
+        r, upto = r[begins < most], np.minimum(upto[begins < most], most)
+        hit = np.flatnonzero(r > gesd_limits(n, upto - 1))  # the limit falls with the removals: the last of equals decides
+        beyond = float(r[hit[-1]]) if len(hit) else math.inf
+    return {"slot": codes, "shift": shift, "centre": centre, "scale": scale, "beyond": beyond}
+
+
+def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int, usual: dict | None = None) -> np.ndarray:
+    """Mask of the readings that depart from the level around them by more than far usual moves, for at most few readings.
+
+    usual: what is usual in the source of which these readings are a part.
+    """
     n = len(log)
     out = np.zeros(n, bool)
-    move = usual_move(log)
-    if n < 5 or move <= 0:
+    move = usual_move(log) if usual is None else usual["move"]
+    if (n if usual is None else usual["n"]) < 5 or n < 2 or move <= 0:
         return out
     rest = log - running_median(log, few)
-    rest = rest - seasonal(rest, ts)
-    mad = 1.4826 * float(np.median(np.abs(rest - np.median(rest))))
-    extreme = gesd(rest, max(mad, 0.5 * move)) & (np.abs(rest) > far / 2 * move)
+    if usual is None:
+        rest = rest - seasonal(rest, ts)
+        mad = 1.4826 * float(np.median(np.abs(rest - np.median(rest))))
+        extreme = gesd(rest, max(mad, 0.5 * move))
+    else:
+        shift = pd.Series(usual["shift"], usual["slot"]).reindex(slots(ts, usual["gap"]) if usual["gap"] > 0 else np.zeros(n, np.int64)).fillna(0.0).to_numpy()
+        extreme = np.abs(rest_values(rest_keys(rest, move), move) - shift - usual["centre"]) / usual["scale"] >= usual["beyond"]
+        rest = rest - shift
+    extreme &= np.abs(rest) > far / 2 * move
     if not extreme.any():
         return out
     groups = lambda mask: np.split(np.flatnonzero(mask), np.flatnonzero(np.diff(np.flatnonzero(mask)) > 1) + 1)
@@ -127,12 +192,25 @@ def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int) -> np.ndarray:
     return out
 
 
-def standstills(x: np.ndarray, before: tuple[int, float] | None, after: tuple[int, float, bool] | None, least: int, log10_chance: float) -> np.ndarray:
+def standstill_limit(runs: np.ndarray, counts: np.ndarray, n: int, least: int, log10_chance: float) -> float:
+    """Length from which on a run of equal values is a standstill, from a source's n readings in `counts` runs of each length."""
+    usual = runs < least  # from the short runs up to the fixed point, so that a long one never makes itself usual
+    for _ in range(20):
+        p = (float(((runs - 1) * counts)[usual].sum()) + 0.5) / (float((runs * counts)[usual].sum()) + 1)
+        limit = 1 + (log10_chance - math.log10(n)) / math.log10(p)
+        more = runs < max(limit, least)
+        if (more == usual).all():
+            break
+        usual = more
+    return max(limit, least)
+
+
+def standstills(x: np.ndarray, before: tuple[int, float] | None, after: tuple[int, float, bool] | None, least: int, log10_chance: float, limit: float | None = None) -> np.ndarray:
     """Mask of the readings, from the second on, of runs of equal values far longer than the others.
 
     A run counts if, at the rate at which readings otherwise repeat their predecessor, fewer than 10 ** log10_chance
     such runs were to be expected. A run to the end of the source is none. before, after: length and value of the run
-    next to this chunk, and whether the one after reaches the end of the source.
+    next to this chunk, and whether the one after reaches the end of the source. limit: the source's, for a chunk.
     """
     n = len(x)
     out = np.zeros(n, bool)
@@ -150,16 +228,10 @@ def standstills(x: np.ndarray, before: tuple[int, float] | None, after: tuple[in
     if len(full) == 1 and joins_before and joins_after:
         full[0] = n + before[0] + after[0]
     last = after is None or (joins_after and after[2])
-    runs = length[:-1] if last and len(length) > 1 else length
-    usual = runs[runs < least]  # from the short runs up to the fixed point, so that a long one never makes itself usual
-    for _ in range(20):
-        p = (float((usual - 1).sum()) + 0.5) / (float(usual.sum()) + 1)
-        limit = 1 + (log10_chance - math.log10(n)) / math.log10(p)
-        more = runs[runs < max(limit, least)]
-        if len(more) == len(usual):
-            break
-        usual = more
-    stuck = full >= max(limit, least)
+    if limit is None:
+        runs = length[:-1] if last and len(length) > 1 else length
+        limit = standstill_limit(runs, np.ones(len(runs), int), n, least, log10_chance)
+    stuck = full >= limit
     if last:
         stuck[-1] = False
     for i in np.flatnonzero(stuck):
@@ -193,25 +265,23 @@ def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, f
     reason[~ok] = "range"
     timed = ~np.isnan(ts)
 
-    hx, hts, tx, tts, before, after, is_last = [], [], [], [], None, None, True
+    hx, hts, tx, tts, before, after, is_last, usual, limit = [], [], [], [], None, None, True, None, None
     if halo is not None and len(halo):
         h = halo.iloc[0]
         hx, hts, tx, tts = (np.asarray(h[c], float) for c in ("head_v", "head_t", "tail_v", "tail_t"))
         before = (int(h["run_before"]), float(h["value_before"]))
         is_last = bool(h["is_last"])
         after = None if is_last else (int(h["run_after"]), float(h["value_after"]), bool(h["to_end"]))
+        usual, limit = h.to_dict(), float(h["stand_limit"])
     use = np.flatnonzero(ok & timed)
-    pick = lambda v: (np.asarray(v, float) > 0) & np.isfinite(np.asarray(v, float))
-    hk, tk = pick(hx), pick(tx)
-    series = np.concatenate([np.asarray(hx, float)[hk], x[use], np.asarray(tx, float)[tk]])
-    times = np.concatenate([np.asarray(hts, float)[hk], ts[use], np.asarray(tts, float)[tk]])
-    log = np.log(series)
-    off = int(hk.sum())
-    spike = spikes(log, times.astype(np.int64), far, few)
+    log = np.log(np.concatenate([hx, x[use], tx]))
+    times = np.concatenate([hts, ts[use], tts])
+    off = len(hx)
+    spike = spikes(log, times.astype(np.int64), far, few, usual)
     mine = spike[off : off + len(use)]
     reason[use[mine]] = "spike"
     seq = np.flatnonzero(timed)
-    stuck = standstills(x[seq], before, after, least, chance)
+    stuck = standstills(x[seq], before, after, least, chance, limit)
     hit = seq[stuck]
     reason[hit[reason[hit] == ""]] = "standstill"
 
@@ -222,7 +292,7 @@ def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, f
         v = ends["value"].to_numpy(float)
         bad = ~(np.isfinite(v) & (v > 0))
         calm = log[: off + len(use)][~spike[: off + len(use)]][-10:]
-        move = usual_move(log)
+        move = usual_move(log) if usual is None else usual["move"]
         far_out = np.zeros(len(v), bool)
         if len(calm) and move > 0:
             lv = np.log(np.where(bad, 1.0, v))
@@ -233,52 +303,148 @@ def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, f
 
 
 _OUT = "tab string, rec_id long, reason string"
-_ENDS = "source long, chunk int, head_t array<double>, head_v array<double>, tail_t array<double>, tail_v array<double>, first_run long, last_run long, n long"
+_ENDS = "source long, chunk int, head_t array<double>, head_v array<double>, tail_t array<double>, tail_v array<double>, first_run long, first_value double, last_run long, last_value double, runs array<long>, run_counts array<long>, n long"
 
 
-def _chunk_ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _timed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     r = _tidy(pdf)
     r = r[r["ts"].notna()]
-    x, ts = r["value"].to_numpy(float), r["ts"].to_numpy(float)
+    return r["ts"].to_numpy(float), r["value"].to_numpy(float)
+
+
+def _chunk_ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one chunk, its first and last positive values, the runs at its ends, and the lengths of the runs between them."""
+    ts, x = _timed(pdf)
     first, last = _runs_at_ends(x) if len(x) else (0, 0)
-    row = {"source": key[0], "chunk": key[1], "head_t": ts[:HALO], "head_v": x[:HALO], "tail_t": ts[-HALO:], "tail_v": x[-HALO:], "first_run": first, "last_run": last, "n": len(x)}
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, int)
+    runs, counts = np.unique(np.diff(edges)[1:-1], return_counts=True)
+    ok = np.isfinite(x) & (x > 0)
+    row = {"source": key[0], "chunk": key[1], "head_t": ts[ok][:HALO], "head_v": x[ok][:HALO], "tail_t": ts[ok][-HALO:], "tail_v": x[ok][-HALO:], "first_run": first, "first_value": x[0] if len(x) else None, "last_run": last, "last_value": x[-1] if len(x) else None, "runs": runs, "run_counts": counts, "n": len(x)}
     return pd.DataFrame([row]) if len(x) else pd.DataFrame(columns=list(row))
 
 
-_HALOS = "source long, chunk int, head_t array<double>, head_v array<double>, tail_t array<double>, tail_v array<double>, run_before long, value_before double, run_after long, value_after double, to_end boolean, is_last boolean"
+_HALOS = "source long, chunk int, head_t array<double>, head_v array<double>, tail_t array<double>, tail_v array<double>, run_before long, value_before double, run_after long, value_after double, to_end boolean, is_last boolean, stand_limit double"
+
 
+def _source_runs(c: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and counts of the runs of a source, put together from its chunks; the last run only if there is no other."""
+    runs: Counter = Counter()
+    length, value = 0, None
+    for p in c.itertuples():
+        if length and value == p.first_value:
+            length += int(p.first_run)
+        else:
+            runs[length] += 1
+            length = int(p.first_run)
+        value = p.last_value
+        if p.first_run < p.n:
+            runs[length] += 1
+            for k, m in zip(p.runs, p.run_counts):
+                runs[int(k)] += int(m)
+            length = int(p.last_run)
+    del runs[0]
+    runs = runs or Counter([length])
+    return np.array([*runs]), np.array([*runs.values()])
 
-def _exchange(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _exchange(pdf: pd.DataFrame, least: int, chance: float) -> pd.DataFrame:
     """Of one source, what each chunk sees of its neighbours; one row per chunk comes in."""
     c = pdf.sort_values("chunk").reset_index(drop=True)
     n, rows = len(c), []
     before = [(0, math.nan)] * n
     for i in range(1, n):  # run that ends where chunk i begins
         p = c.iloc[i - 1]
-        run, value = int(p["last_run"]), float(p["tail_v"][-1])
+        run, value = int(p["last_run"]), float(p["last_value"])
         if run == p["n"] and before[i - 1][1] == value:
             run += before[i - 1][0]
         before[i] = (run, value)
     after: list[tuple[int, float, bool]] = [(0, math.nan, True)] * n
     for i in range(n - 2, -1, -1):  # run that begins where chunk i ends
         p = c.iloc[i + 1]
-        run, value, whole = int(p["first_run"]), float(p["head_v"][0]), p["first_run"] == p["n"]
+        run, value, whole = int(p["first_run"]), float(p["first_value"]), p["first_run"] == p["n"]
         to_end = bool(whole and i + 1 == n - 1)
         if whole and i + 1 < n - 1 and after[i + 1][1] == value:
             run, to_end = run + after[i + 1][0], after[i + 1][2]
         after[i] = (run, value, to_end)
+    limit = standstill_limit(*_source_runs(c), int(c["n"].sum()), least, chance)
+    none = np.zeros(0)
+    heads, tails = [(none, none)] * n, [(none, none)] * n
+    for i in range(1, n):  # over thin chunks, from further away
+        heads[i] = tuple(np.concatenate([heads[i - 1][k], c.at[i - 1, name]])[-HALO:] for k, name in enumerate(("tail_t", "tail_v")))
+    for i in range(n - 2, -1, -1):
+        tails[i] = tuple(np.concatenate([c.at[i + 1, name], tails[i + 1][k]])[:HALO] for k, name in enumerate(("head_t", "head_v")))
     for i in range(n):
-        prev, nxt = (c.iloc[i - 1] if i else None), (c.iloc[i + 1] if i + 1 < n else None)
         rows.append({
             "source": c.at[i, "source"], "chunk": c.at[i, "chunk"],
-            "head_t": prev["tail_t"] if prev is not None else [], "head_v": prev["tail_v"] if prev is not None else [],
-            "tail_t": nxt["head_t"] if nxt is not None else [], "tail_v": nxt["head_v"] if nxt is not None else [],
+            "head_t": heads[i][0], "head_v": heads[i][1], "tail_t": tails[i][0], "tail_v": tails[i][1],
             "run_before": before[i][0], "value_before": before[i][1], "run_after": after[i][0], "value_after": after[i][1],
-            "to_end": after[i][2], "is_last": i == n - 1,
+            "to_end": after[i][2], "is_last": i == n - 1, "stand_limit": limit,
         })
     return pd.DataFrame(rows)
 
 
+def _counted(key: tuple, **keys: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(keys).value_counts().rename("m").reset_index().assign(source=key[0])
+
+
+def _valid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    ts, x = _timed(pdf)
+    ok = np.isfinite(x) & (x > 0)
+    return ts[ok], x[ok]
+
+
+def _moves(key: tuple, pdf: pd.DataFrame, halo: pd.DataFrame) -> pd.DataFrame:
+    """Counts of a chunk's moves (what 0) and time gaps in seconds, a day at most (1), from the reading before it on, and of its readings (2)."""
+    ts, x = _valid(pdf)
+    if not len(halo) or not len(x):
+        return pd.DataFrame({"source": [], "what": [], "k": [], "m": []})
+    h = halo.iloc[0]
+    d = np.abs(np.diff(np.log(np.concatenate([h["head_v"][-1:], x]))))
+    gap = np.diff(np.concatenate([h["head_t"][-1:], ts]))
+    d = np.floor(np.log(d[d > 0]) * MOVE_BINS)
+    gap = np.where(gap > 0, np.clip(np.rint(gap / 1e6), 1, 86_400), 0)
+    return _counted(key, what=np.repeat([0, 1, 2], [len(d), len(gap), len(x)]), k=np.concatenate([d, gap, np.zeros(len(x))]).astype(np.int64))
+
+
+def _usual_move(pdf: pd.DataFrame) -> pd.DataFrame:
+    of = lambda i: pdf[pdf["what"] == i]
+    d, gap = of(0), of(1)
+    move = weighted_median(np.exp((d["k"].to_numpy() + 0.5) / MOVE_BINS), d["m"].to_numpy()) if len(d) else 0.0
+    gap = 1e6 * weighted_median(gap["k"].to_numpy(float), gap["m"].to_numpy()) if len(gap) else 0.0
+    return pd.DataFrame([{"source": pdf["source"].iloc[0], "n": of(2)["m"].sum(), "move": move, "gap": gap}])
+
+
+def _rests(key: tuple, pdf: pd.DataFrame, halo: pd.DataFrame, few: int) -> pd.DataFrame:
+    """Counts of a chunk's departures from the running median, by slot."""
+    ts, x = _valid(pdf)
+    if not len(halo) or not len(x) or halo["move"].iloc[0] <= 0:
+        return pd.DataFrame({"source": [], "slot": [], "k": [], "m": []})
+    h = halo.iloc[0]
+    log = np.log(np.concatenate([h["head_v"], x, h["tail_v"]]))
+    rest = (log - running_median(log, few))[len(h["head_v"]) :][: len(x)]
+    slot = slots(ts.astype(np.int64), h["gap"]) if h["gap"] > 0 else np.zeros(len(x), np.int64)
+    return _counted(key, slot=slot, k=rest_keys(rest, h["move"]))
+
+
+def _usual_rest(pdf: pd.DataFrame) -> pd.DataFrame:
+    n, move, gap = (pdf[c].iloc[0] for c in ("n", "move", "gap"))
+    rest = usual_rest(*(pdf[c].to_numpy() for c in ("slot", "k", "m")), int(n), float(move), float(gap))
+    return pd.DataFrame([{"source": pdf["source"].iloc[0]} | rest])
+
+
+def _usual(cut: DataFrame, halos: DataFrame, few: int) -> DataFrame:
+    """(source, n, move, gap, slot, shift, centre, scale, beyond): what is usual in each source that is cut."""
+    chunks = cut.groupBy("source", "chunk")
+    counts = chunks.cogroup(halos.groupBy("source", "chunk")).applyInPandas(_moves, "source long, what int, k long, m long")
+    moves = counts.groupBy("source", "what", "k").agg(F.sum("m").alias("m")).groupBy("source").applyInPandas(_usual_move, "source long, n long, move double, gap double")
+    moves = cut_lineage(moves)
+    seen = halos.join(moves, "source")
+    counts = chunks.cogroup(seen.groupBy("source", "chunk")).applyInPandas(lambda key, pdf, halo: _rests(key, pdf, halo, few), "source long, slot long, k long, m long")
+    counts = counts.groupBy("source", "slot", "k").agg(F.sum("m").alias("m")).join(moves, "source")
+    rests = counts.groupBy("source").applyInPandas(_usual_rest, "source long, slot array<long>, shift array<double>, centre double, scale double, beyond double")
+    return moves.join(rests, "source", "left")
+
+
 def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: int = 5, far_end: float = 20.0, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(tab, rec_id, reason): the records that do not fit the normal behaviour of their own source.
 
@@ -293,17 +459,28 @@ def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: in
     """
     r = readings.select(F.col("source").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("rec_id").cast("long"), F.col("value").cast("double"), F.lit(0).alias("kind")).filter("rec_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     e = ends.select(F.col("source").cast("long"), F.lit(None).cast("long").alias("ts"), F.col("rec_id").cast("long"), F.col("value").cast("double"), F.lit(1).alias("kind")).filter("rec_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
-    per = readings.groupBy(F.col("source").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t0"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t1"))
-    large = per.filter(F.col("n") > chunk_rows).withColumn("chunks", F.ceil(F.col("n") / chunk_rows).cast("int")).drop("n")
+    per = readings.groupBy(F.col("source").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    large = per.filter(F.col("n") > chunk_rows)
     args = (far, few, far_end, least, log10_chance)
     if within(large, 0):
         rows = r.unionByName(e)
         return rows.groupBy("source").applyInPandas(lambda pdf: _judge(pdf, None, *args), _OUT)
 
-    at = F.floor((F.col("ts") - F.col("t0")) / (F.col("t1") - F.col("t0") + 1) * F.col("chunks")).cast("int")
-    chunk = F.when(F.col("kind") == 1, F.coalesce(F.col("chunks") - 1, F.lit(0))).otherwise(F.coalesce(F.least(at, F.col("chunks") - 1), F.lit(0)))
-    rows = join_dimension(r.unionByName(e), large, "source", "left").withColumn("chunk", chunk)
-    cut = rows.filter("chunks IS NOT NULL").drop("t0", "t1", "chunks")
-    halos = cut.groupBy("source", "chunk").applyInPandas(_chunk_ends, _ENDS).groupBy("source").applyInPandas(_exchange, _HALOS)
-    together = rows.drop("t0", "t1", "chunks").groupBy("source", "chunk").cogroup(halos.groupBy("source", "chunk"))
+    large = large.filter("source IS NOT NULL").withColumn("chunks", F.ceil(F.col("n") / chunk_rows).cast("int"))
+    most = large.agg(F.max("chunks")).first()[0] or 1
+    grid = [i / most for i in range(1, most)] or [0.5]
+    timed = join_dimension(r.filter("ts IS NOT NULL").select("source", "ts"), large.select("source", "chunks"), "source")
+    bounds = timed.groupBy("source", "chunks").agg(F.percentile_approx("ts", grid, max(10_000, 10 * most)).alias("q"), F.max("ts").alias("t1"))
+    cuts = F.expr(f"array_distinct(filter(transform(sequence(1, chunks - 1), i -> q[cast(round(i * {most} / chunks) AS int) - 1]), b -> b < t1))")
+    bounds = bounds.select("source", cuts.alias("cuts"))
+    # the number of cuts before a reading, by bisection; end values go to the last chunk
+    steps = ", ".join(str(1 << i) for i in reversed(range(most.bit_length())))
+    at = F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(p + s <= size(cuts) AND get(cuts, p + s - 1) < ts, p + s, p))")
+    chunk = F.when(F.col("cuts").isNull(), 0).when(F.col("kind") == 1, F.size("cuts")).when(F.col("ts").isNull(), 0).otherwise(at)
+    rows = join_dimension(r.unionByName(e), bounds, "source", "left").withColumn("chunk", chunk)
+    cut = rows.filter("cuts IS NOT NULL").drop("cuts")
+    halos = cut.groupBy("source", "chunk").applyInPandas(_chunk_ends, _ENDS).groupBy("source").applyInPandas(lambda pdf: _exchange(pdf, least, log10_chance), _HALOS)
+    halos = cut_lineage(halos)
+    seen = halos.join(_usual(cut, halos, few), "source")
+    together = rows.drop("cuts").groupBy("source", "chunk").cogroup(seen.groupBy("source", "chunk"))
     return together.applyInPandas(lambda pdf, halo: _judge(pdf, halo, *args), _OUT)

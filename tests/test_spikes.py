@@ -61,6 +61,32 @@ def test_chunks_give_the_same(spark, chunk):
     assert {(i - 100_000, r) for t, i, r in got} == want
 
 
+def test_chunks_go_by_what_is_usual_in_the_whole_file(spark):
+    """Volatility changes between chunks: the limit of ten usual moves is the file's, about 0.0053 in 1 and 0.018 in 2."""
+    step = lambda n, m, seed: np.log(zigzag(n, seed, m) / 100)
+    files = {1: np.concatenate([step(1800, 0.0005, 1), step(1200, 0.002, 2)]), 2: np.concatenate([step(1200, 0.0005, 3), step(1800, 0.002, 4)])}
+    for x in files.values():
+        x[[500, 2500]] += 0.012
+    files = {f: 100 * np.exp(x) for f, x in files.items()}
+    want = {("ohlc", 100_500, "spike"), ("ohlc", 102_500, "spike")}
+    assert run(spark, files) == want
+    assert run(spark, files, chunk_rows=300) == want
+
+
+def test_chunks_by_rows_and_repeat_rate_of_the_whole_file(spark):
+    """Readings crowd in time, and the first half repeats itself far more often than the second."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([np.round(series(1000, 1, 0.0006), 1), 100 * np.exp(np.cumsum(rng.normal(0, 0.004, 1000)))])
+    v[1500:1509] = v[1500]
+    v[1700] *= 1.2
+    rows = [(1, T0 + timedelta(seconds=i if i < 1900 else i * 10_000), i, float(x), 9, 9, 9) for i, x in enumerate(v)]
+    ends = spark.createDataFrame([(1, 1, float(v[-1]) * 1.01, 9, None), (1, 2, float(v[-1]) * 2, 9, None)], E)
+    found = lambda k: {(r["tab"], r["rec_id"], r["reason"]) for r in sp.implausible(spark.createDataFrame(rows, R), ends, chunk_rows=k).collect()}
+    whole = found(sp.CHUNK_ROWS)
+    assert ("ohlc", 1700, "spike") in whole and ("trim_info", 2, "end") in whole
+    assert found(250) == whole
+
+
 def test_standstill_over_chunks_to_the_end_is_none(spark):
     v = series(2000, 9)
     v[900:] = v[900]
