@@ -162,6 +162,15 @@ def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
     return cl.quality(x, [f"x{i}" for i in range(8)]).select("n", "k", "silhouette")
 
 
+@query(digits=4)
+def cluster_quality_all(spark: SparkSession, d: str) -> DataFrame:
+    """All three measures over all dimensions; cluster_quality and its SQL read the first eight."""
+    e = table(spark, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"x{i}" for i in range(size)]
+    return cl.quality(e.select("label", *(F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(names))), names)
+
+
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     s = mx.summary(px.enrich(panel(spark, d)))
     names = ["ann_vol", "sharpe", "max_drawdown", "win_rate"]
