@@ -140,16 +140,22 @@ def asset_label(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {NATION_PRICES}, top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 10), pt AS (SELECT p.* FROM panel p JOIN top USING (algo_id))
 SELECT a.algo_id AS a, b.algo_id AS b, round(covar_samp(a.ret, b.ret), 6) + 0.0 AS cov, round(0.9 * covar_samp(a.ret, b.ret), 6) + 0.0 AS shrunk, count(*) AS n FROM pt a JOIN pt b ON a.date = b.date AND a.algo_id < b.algo_id GROUP BY ALL HAVING count(*) > 1""")
-def cov_matrix_pairs(spark: SparkSession, d: str) -> DataFrame:
-    m = pr.moments(nation_panel(spark, d), top=10).filter("n > 1")
+def cov_matrix_pairs(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
+    m = pr.moments(nation_panel(spark, d), top=top).filter("n > 1")
     cov = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)
     return m.select("a", "b", cov.alias("cov"), (0.9 * cov).alias("shrunk"), F.col("n").cast("long").alias("n"))
 
 
+@query()
+def cov_matrix_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all entities up to the reference's cap of 100."""
+    return cov_matrix_pairs(spark, d, 100)
+
+
 @query()
 def rolling_pca_share(spark: SparkSession, d: str) -> DataFrame:
     dense = px.densify(nation_panel(spark, d), "algo_id", "ret", F.lit(0.0))
-    return pr.first_component_share(dense, 10, 42)
+    return pr.first_component_share(dense, 50, 42)
 
 
 @query("""

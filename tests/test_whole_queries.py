@@ -1,9 +1,15 @@
 """Queries that leave nothing out, against brute force; the SQL of their namesakes is of a subset."""
 
+import os
+from itertools import combinations
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from panelspark.operators import panel as px
 from panelspark.plans import registry
+from panelspark.plans.base import nation_panel
 from panelspark.sources.tables import table
 
 
@@ -28,3 +34,67 @@ def test_cluster_quality_of_whole_vectors(spark, small):
     assert got[0]["silhouette"] == pytest.approx(np.mean(s), abs=1e-4)
     assert got[0]["calinski_harabasz"] == pytest.approx(between / (len(labels) - 1) / (sum(within) / (len(x) - len(labels))), abs=1e-4)
     assert got[0]["davies_bouldin"] == pytest.approx(db, abs=1e-4)
+
+
+@pytest.fixture(scope="module")
+def larger():
+    """Tables with enough common days for pairs."""
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no table directory")
+    return d
+
+
+@pytest.fixture(scope="module")
+def wide(spark, larger):
+    return nation_panel(spark, larger).toPandas().dropna(subset=["ret"]).pivot(index="date", columns="algo_id", values="ret").astype(float)
+
+
+def rows(spark, larger, name):
+    return registry.QUERIES[name](spark, larger).toPandas()
+
+
+def test_pairs_of_all_nations(spark, larger, wide):
+    both = {(a, b): wide[[a, b]].dropna() for a, b in combinations(sorted(wide.columns), 2)}
+    want = {k: v.corr().iloc[0, 1] for k, v in both.items() if len(v) >= 30}
+    assert wide.shape[1] > 15
+    got = rows(spark, larger, "corr_matrix_pairs_all").set_index(["a", "b"])["corr"].to_dict()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6, nan_ok=True) for k, v in want.items())
+    c = np.array([*want.values()])
+    s = rows(spark, larger, "corr_statistics_all").iloc[0]
+    assert s["n"] == len(want) and s["mean"] == pytest.approx(np.nanmean(c), abs=1e-7)
+    assert rows(spark, larger, "corr_histogram_all")["n"].sum() == len(c)
+    assert len(rows(spark, larger, "low_corr_pairs_all")) == (np.abs(c) < 0.02).sum()
+    assert rows(spark, larger, "corr_graph_nodes_all")["degree"].sum() == 2 * (np.abs(c) > 0.03).sum()
+    assert rows(spark, larger, "top_pairs_all")["corr"].agg(["min", "max"]).tolist() == pytest.approx([c.min(), c.max()], abs=2e-6)
+    assert set(rows(spark, larger, "best_diversifiers_all")["a"]) == {x for k in want for x in k}
+    best = sorted(want, key=lambda k: (-round(want[k], 9), k))[:20]
+    assert set(map(tuple, rows(spark, larger, "cointegration_all")[["a", "b"]].to_numpy())) <= set(best)
+    cov = rows(spark, larger, "cov_matrix_pairs_all").set_index(["a", "b"])["cov"].to_dict()
+    some = {k: v.cov().iloc[0, 1] for k, v in both.items() if len(v) > 1}
+    assert cov.keys() == some.keys() and all(cov[k] == pytest.approx(v, abs=2e-6) for k, v in some.items())
+    assert rows(spark, larger, "diversification_ratio_all")["n"].iloc[0] == len({x for k in some for x in k})
+    early = {d: str(d) < "1998" for d in wide.index}
+    parts = [wide[[early[d] == e for d in wide.index]] for e in (True, False)]
+    assert len(rows(spark, larger, "corr_by_regime_all")) == sum(len(w[[a, b]].dropna()) >= 30 for w in parts for a, b in both)
+
+
+def test_rolling_measures_of_all_nations(spark, larger, wide):
+    got = rows(spark, larger, "mean_rolling_corr_all").set_index("date")
+    for day in (wide.index[41], wide.index[len(wide) // 2], wide.index[-1]):
+        i = wide.index.get_loc(day)
+        w = wide.iloc[i - 41 : i + 1]
+        r = [v.corr().iloc[0, 1] for a, b in combinations(w.columns, 2) if len(v := w[[a, b]].dropna()) >= 5]
+        if str(day) in got.index:
+            assert (got.at[str(day), "pairs"], got.at[str(day), "mean_corr"]) == (len(r), pytest.approx(np.mean(r), abs=2e-6))
+        else:
+            assert not r
+    share = rows(spark, larger, "rolling_pca_share").set_index("date")["share"]
+    full = px.densify(nation_panel(spark, larger), "algo_id", "ret", F.lit(0.0)).toPandas().pivot(index="date", columns="algo_id", values="ret").astype(float)
+    day = sorted(share.index)[len(share) // 2]
+    i = full.index.get_loc(next(d for d in full.index if str(d) == day))
+    w = full.iloc[i - 42 : i].dropna(axis=1).to_numpy()
+    assert w.shape[1] > 10
+    e = np.linalg.eigvalsh(np.corrcoef(w[:, w.std(0) > 1e-12], rowvar=False))
+    assert share.max() <= 1 and len(share) > 0
+    assert share[day] == pytest.approx(e[-1] / e.sum(), abs=2e-6)
