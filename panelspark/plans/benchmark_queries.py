@@ -194,6 +194,13 @@ def family_month_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return p.na.fill(0.0)
 
 
+@query()
+def family_month_crosstab_all(spark: SparkSession, d: str) -> DataFrame:
+    """(month, family, volume): every family found, in rows; trades without one as `unmapped`."""
+    j = trades(spark, d).filter("date_open IS NOT NULL").join(families(spark, d), "algo_id", "left").withColumn("family", F.coalesce("family", F.lit("unmapped")))
+    return j.groupBy(F.trunc("date_open", "MM").alias("month"), "family").agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"))
+
+
 @query(f"""
 WITH {TRADES}, a AS (SELECT algo_id, sum(invested) AS v FROM t WHERE algo_id IS NOT NULL AND invested IS NOT NULL GROUP BY algo_id),
 r AS (SELECT *, row_number() OVER (ORDER BY v DESC, algo_id) AS k, sum(v) OVER () AS tot, sum(v) OVER (ORDER BY v DESC, algo_id ROWS UNBOUNDED PRECEDING) AS cum FROM a)

@@ -79,6 +79,13 @@ def observation_matrix(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("date").pivot("family", ["carry", "reversion", "trend"]).agg(F.avg("ret"))
 
 
+@query(digits=10)
+def observation_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """(date, family, ret): every family found, in rows; algorithms without a family as null."""
+    j = panel(spark, d).join(families(spark, d), "algo_id", "left")
+    return j.groupBy("date", "family").agg(F.avg("ret").alias("ret"))
+
+
 @query(f"""
 WITH {PANEL}, {FAMILIES}, s AS (SELECT algo_id, avg(ret) AS m, CASE WHEN stddev_samp(ret) > 1e-10 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END AS sh FROM panel GROUP BY algo_id),
 g AS (SELECT f.family, count(*) AS n, avg(sh) AS sharpe, avg(m) AS mean_ret FROM s JOIN fam f USING (algo_id) WHERE f.family NOT IN ('unknown', 'none', '') GROUP BY f.family HAVING count(*) >= 2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import panel as px
 from panelspark.plans import registry
-from panelspark.plans.base import nation_panel
+from panelspark.plans.base import families, nation_panel, panel, trades
 from panelspark.sources.tables import table
 
 
@@ -98,3 +98,21 @@ def test_rolling_measures_of_all_nations(spark, larger, wide):
     e = np.linalg.eigvalsh(np.corrcoef(w[:, w.std(0) > 1e-12], rowvar=False))
     assert share.max() <= 1 and len(share) > 0
     assert share[day] == pytest.approx(e[-1] / e.sum(), abs=2e-6)
+
+
+def test_every_family_is_there(spark, larger):
+    fam = families(spark, larger).toPandas().set_index("algo_id")["family"]
+    p = panel(spark, larger).select(F.col("date").cast("string").alias("date"), "algo_id", "ret").toPandas()
+    p["family"] = p["algo_id"].map(fam).fillna("-")
+    want = p.groupby(["date", "family"])["ret"].mean()
+    got = rows(spark, larger, "observation_matrix_all")
+    got = got.assign(family=got["family"].fillna("-")).set_index(["date", "family"])["ret"]
+    assert len({f for _, f in got.index} - {"-"}) > 3 and got.index.is_unique
+    assert got.sort_index().index.tolist() == want.sort_index().index.tolist()
+    np.testing.assert_allclose(got.sort_index().to_numpy(float), want.sort_index().to_numpy(float), atol=1e-9)
+    t = trades(spark, larger).filter("date_open IS NOT NULL").select(F.date_format("date_open", "yyyy-MM-01").alias("month"), "algo_id", "volume").toPandas()
+    t["family"] = t["algo_id"].map(fam).fillna("unmapped")
+    want = t.groupby(["month", "family"])["volume"].sum().sort_index()
+    got = rows(spark, larger, "family_month_crosstab_all").set_index(["month", "family"])["volume"].sort_index()
+    assert got.index.tolist() == want.index.tolist()
+    np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9, atol=1e-5)
