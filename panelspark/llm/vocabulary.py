@@ -12,7 +12,7 @@ import numpy as np
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 #: Bytes after which a text is cut at the next certain cut.
-FRAGMENT_BYTES = 8192
+FRAGMENT_BYTES = 512
 
 # Fixed value: the published pattern that splits text before the merges of these rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -43,3 +43,10 @@ def test_same_ids_as_the_other_library():
     t.encode_special_tokens = True
     for text in SAMPLES:
         assert t.encode(text, add_special_tokens=False).ids == vocabulary().encode(text).tolist()
+
+
+def test_texts_of_ordinary_length_are_cut():
+    v = vocabulary()
+    text = "word and more words, again. " * 60
+    assert len(text) < 2000 and len(v.fragments(text)) > 2
+    assert v.encode_by_fragments(text).tolist() == v.encode(text).tolist()
