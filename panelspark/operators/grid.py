@@ -27,6 +27,13 @@ def slot_number(ts: Column, step_minutes: Column, weekdays_only: Column) -> Colu
     return (counted * a_day + F.floor(F.pmod(minute, F.lit(1440)) / step_minutes)).cast("long")
 
 
+def next_slot_number(ts: Column, step_minutes: Column) -> Column:
+    """Number of the first slot after a time on a weekend without slots (Monday 00:00); null for other times."""
+    day = F.floor(F.floor(F.unix_micros(ts) / F.lit(60_000_000)) / 1440)
+    week, weekday = F.floor((day - 4) / 7), F.pmod(day - 4, F.lit(7))
+    return F.when(weekday >= 5, (week + 1) * 5 * F.ceil(F.lit(1440) / step_minutes)).cast("long")
+
+
 def slot_start(slot: Column, step_minutes: Column, weekdays_only: Column) -> Column:
     """Start of a slot as a timestamp; inverse of slot_number."""
     a_day = F.ceil(F.lit(1440) / step_minutes)
@@ -49,12 +56,14 @@ def _inner_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
     return F.when(flat | (F.signum(d0) != F.signum(d1)), 0.0).otherwise((w0 + w1) / (w0 / safe(d0) + w1 / safe(d1)))
 
 
-def regular_grid(readings: DataFrame, source: list[str], slot: str, value: str, order: list[str], max_gap: int = 10, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def regular_grid(readings: DataFrame, source: list[str], slot: str, value: str, order: list[str], max_gap: int = 10, shard_slots: int = SHARD_SLOTS, off_grid: str | None = None) -> DataFrame:
     """(source..., slot, value, state): one row per slot from a source's first reading to its last.
 
     state is `reading` (the last reading of the slot by `order`), `filled` (interpolated) or `gap` (value null: the
     hole has more than max_gap slots). A hole longer than that also ends a segment: readings beyond it shape no curve.
-    Rows with a null source, slot or value are no readings. Repeated rows and ties give the same value once. A source
+    Rows with a null source, slot or value are no readings. off_grid names a column with the number of the next slot for
+    readings that fall in none (a weekend): they fill nothing, but the grid of a source that has other readings begins
+    or ends with them; slots beyond the outermost filled one are gaps, as no curve leads there. Repeated rows and ties give the same value once. A source
     with one reading gives one row; an empty table gives an empty result.
     """
     keep = [*source, F.col(slot).cast("long").alias("k"), F.col(value).cast("double").alias("v"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))]
@@ -90,7 +99,23 @@ def regular_grid(readings: DataFrame, source: list[str], slot: str, value: str,
     curve = (1 + 2 * t) * (1 - t) * (1 - t) * F.col("v") + t * (1 - t) * (1 - t) * H * F.col("m0") + t * t * (3 - 2 * t) * F.col("v1") + t * t * (t - 1) * H * F.col("m1")
     state = F.when(F.col("i") == 0, "reading").when(F.col("m0").isNotNull(), "filled").otherwise("gap")
     filled = F.when(F.col("i") == 0, F.col("v")).otherwise(curve)
-    return out.select(*source, (F.col("k") + F.col("i")).alias("slot"), filled.alias("value"), state.alias("state"))
+    grid = out.select(*source, (F.col("k") + F.col("i")).alias("slot"), filled.alias("value"), state.alias("state"))
+    if off_grid is None:
+        return grid
+    beyond = _beyond(readings, slots, source, slot, value, off_grid, shard_slots)
+    return grid.unionByName(beyond)
+
+
+def _beyond(readings: DataFrame, slots: DataFrame, source: list[str], slot: str, value: str, off_grid: str, shard_slots: int) -> DataFrame:
+    """The gap slots between a source's outermost filled slot and a reading off the grid beyond it."""
+    off = readings.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*source, value, off_grid]) + f" AND {slot} IS NULL")
+    off = off.groupBy(*source).agg(F.min(off_grid).alias("lo"), (F.max(off_grid) - 1).alias("hi"))
+    ends = slots.groupBy(*source).agg(F.min("k").alias("a"), F.max("k").alias("z")).join(off, source)
+    side = lambda x, y: F.when(x <= y, F.struct(x.alias("x"), y.alias("y")))
+    sides = F.array_compact(F.array(side(F.col("lo"), F.col("a") - 1), side(F.col("z") + 1, F.col("hi"))))
+    rows = ends.select(*source, F.explode(sides).alias("s")).select(*source, "s.y", F.explode(F.sequence(F.col("s.x"), F.col("s.y"), F.lit(shard_slots).cast("long"))).alias("b"))
+    rows = rows.select(*source, F.explode(F.sequence(F.col("b"), F.least(F.col("y"), F.col("b") + shard_slots - 1))).alias("slot"))
+    return rows.select(*source, "slot", F.lit(None).cast("double").alias("value"), F.lit("gap").alias("state"))
 
 
 def _halos(slots: DataFrame, source: list[str]) -> DataFrame:

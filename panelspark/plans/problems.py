@@ -82,13 +82,15 @@ def _ohlc_grid(spark: SparkSession, d: str) -> DataFrame:
     weekdays = F.col("sessions") == "24x5"
     placed = placed.withColumn("weekdays", F.coalesce(weekdays, F.lit(False)))
     placed = placed.withColumn("slot", grid.slot_number(F.col("ts"), F.col("step_minutes"), F.col("weekdays")))
-    return grid.regular_grid(placed, ["file_id", "step_minutes", "weekdays"], "slot", "close", ["ts", "bar_id"]).withColumn("start", grid.slot_start(F.col("slot"), F.col("step_minutes"), F.col("weekdays")))
+    placed = placed.withColumn("next_slot", F.when(F.col("weekdays"), grid.next_slot_number(F.col("ts"), F.col("step_minutes"))))
+    return grid.regular_grid(placed, ["file_id", "step_minutes", "weekdays"], "slot", "close", ["ts", "bar_id"], off_grid="next_slot").withColumn("start", grid.slot_start(F.col("slot"), F.col("step_minutes"), F.col("weekdays")))
 
 
 def _panel_grid(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "algo_returns").filter("close IS NOT NULL").withColumn("ts", F.col("date").cast("timestamp"))
     r = r.withColumn("slot", grid.slot_number(F.col("ts"), F.lit(1440), F.lit(True)))
-    return grid.regular_grid(r, ["algo_id"], "slot", "close", ["loaded_at"]).withColumn("start", grid.slot_start(F.col("slot"), F.lit(1440), F.lit(True)))
+    r = r.withColumn("next_slot", grid.next_slot_number(F.col("ts"), F.lit(1440)))
+    return grid.regular_grid(r, ["algo_id"], "slot", "close", ["loaded_at"], off_grid="next_slot").withColumn("start", grid.slot_start(F.col("slot"), F.lit(1440), F.lit(True)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -52,10 +52,10 @@ WITH r AS (
   SELECT o.file_id, f.step_minutes AS st, f.sessions = '24x5' AS wk, time_bucket(to_minutes(f.step_minutes), o.ts, TIMESTAMP '2000-01-03') AS slot
   FROM ohlc o JOIN (SELECT DISTINCT file_id, step_minutes, sessions FROM price_files) f USING (file_id) WHERE o.close IS NOT NULL
 ), s AS (SELECT DISTINCT file_id, st, wk, slot FROM r WHERE NOT (wk AND isodow(slot) > 5)),
-e AS (SELECT file_id, st, wk, min(slot) AS a, max(slot) AS z FROM s GROUP BY ALL),
+e AS (SELECT file_id, st, wk, min(slot) AS a, max(slot) AS z FROM r GROUP BY ALL HAVING count(*) FILTER (NOT (wk AND isodow(slot) > 5)) > 0),
 g AS (SELECT file_id, wk, unnest(generate_series(a, z, to_minutes(st))) AS slot FROM e),
-d AS (SELECT DISTINCT algo_id, CAST(date AS TIMESTAMP) AS day FROM algo_returns WHERE close IS NOT NULL AND isodow(date) <= 5),
-de AS (SELECT algo_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM d GROUP BY algo_id)
+d AS (SELECT DISTINCT algo_id, CAST(date AS TIMESTAMP) AS day FROM algo_returns WHERE close IS NOT NULL),
+de AS (SELECT algo_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM d GROUP BY algo_id HAVING count(*) FILTER (isodow(day) <= 5) > 0)
 SELECT 'ohlc' AS tab, CAST(g.file_id AS VARCHAR) AS source_key, strftime(g.slot, '%Y-%m-%d %H:%M') AS slot
 FROM g LEFT JOIN s ON s.file_id = g.file_id AND s.slot = g.slot WHERE s.slot IS NULL AND NOT (g.wk AND isodow(g.slot) > 5)
 UNION ALL

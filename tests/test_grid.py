@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators.grid import regular_grid, slot_number, slot_start
+from panelspark.operators.grid import next_slot_number, regular_grid, slot_number, slot_start
 
 SCHEMA = "src string, slot long, v double, ts long, k long, shard long, own boolean, state string"
 
@@ -91,3 +91,16 @@ def test_slots_and_back(spark):
     week = df.filter("wk AND step = 1440").select(n.alias("n")).distinct().orderBy("n").collect()
     got = [r["n"] for r in week if r["n"] is not None]
     assert got == list(range(got[0], got[0] + len(got)))
+
+
+def test_readings_off_the_grid_bound_it(spark):
+    """Weekend readings of a weekday grid: from Saturday 2024-03-02 the Monday counts, up to a Sunday the Friday before."""
+    days = [("a", "2024-03-02"), ("a", "2024-03-06"), ("a", "2024-03-10"), ("b", "2024-03-09"), ("c", "2024-03-04"), ("c", "2024-03-09")]
+    df = spark.createDataFrame([(s, datetime.fromisoformat(x), 1.0) for s, x in days * 2], "src string, t timestamp, v double")
+    df = df.withColumn("n", slot_number(F.col("t"), F.lit(1440), F.lit(True))).withColumn("nx", next_slot_number(F.col("t"), F.lit(1440)))
+    for shard in (2, 4096):
+        out = regular_grid(df, ["src"], "n", "v", ["t"], shard_slots=shard, off_grid="nx")
+        rows = out.withColumn("d", F.date_format(slot_start(F.col("slot"), F.lit(1440), F.lit(True)), "MM-dd")).collect()
+        got = {(r["src"], r["d"]): r["state"] for r in rows}
+        assert len(got) == len(rows)
+        assert got == {("a", "03-06"): "reading", ("c", "03-04"): "reading"} | {("a", x): "gap" for x in ("03-04", "03-05", "03-07", "03-08")} | {("c", f"03-0{i}"): "gap" for i in range(5, 9)}
