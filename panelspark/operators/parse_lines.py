@@ -6,9 +6,12 @@ lines, those are subtracted from the raw offsets, and only the remainder is diag
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import computed_once, join_dimension
 
 #: Code points that are no characters, in place of `,` and `;` within quotes.
@@ -66,23 +69,41 @@ def headers(lines: DataFrame) -> DataFrame:
     return h.select("file_name", "sep", F.size("names").alias("n_cols"), at("date", "datetime").alias("at_datetime"), at("close").alias("at_close"))
 
 
-def _judged(lines: DataFrame) -> DataFrame:
-    """Lines after the header, with the layout of their file and their parsed parts."""
-    body = lines.select("line_id", "file_name", "line_no", "line").filter("line_no IS NULL OR line_no <> 1")
+def _judged(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Lines after the header with reason (null: the line conforms), datetime and close; each line is taken apart once."""
+    body = lines.filter("line_no IS NULL OR line_no <> 1")
     body = body.withColumn("body", F.regexp_replace(F.coalesce("line", F.lit("")), r"\r\z", ""))
-    joined = join_dimension(body, headers(lines), "file_name", "left")
-    sep = F.coalesce("sep", F.lit(","))
-    parts = joined.withColumn("quoted_well", _well_quoted(F.col("body"), sep)).withColumn("f", _fields(F.col("body"), sep))
+    joined = join_dimension(body, layouts, "file_name", "left")
+    joined = joined.withColumn("sep", F.coalesce("sep", F.lit(",")))
+    joined = computed_once(joined, "f", _fields(F.col("body"), F.col("sep")))
     pick = lambda at: F.coalesce(_value(F.try_element_at("f", F.when(F.col(at) > 0, F.col(at)).otherwise(F.lit(1_000_000)))), F.lit(""))
-    parts = parts.withColumn("datetime", pick("at_datetime")).withColumn("close", pick("at_close"))
-    right_count = F.coalesce(F.size("f") == F.col("n_cols"), F.lit(False)) & (_strip(F.col("body")) != "")
-    return parts.withColumn("counted_well", right_count)
+    joined = computed_once(joined, "v", F.struct(pick("at_datetime").alias("datetime"), pick("at_close").alias("close")))
+    counted_well = F.coalesce(F.size("f") == F.col("n_cols"), F.lit(False)) & (_strip(F.col("body")) != "")
+    reason = (
+        F.when(~_well_quoted(F.col("body"), F.col("sep")), "quoting")
+        .when(~counted_well, "columns")
+        .when(~_real_datetime(F.col("v.datetime")), "datetime")
+        .when(~_finite(F.col("v.close")), "close")
+    )
+    judged = computed_once(joined, "reason", reason)
+    return judged.select("line_id", "file_name", "line_no", "line", "reason", "v.datetime", "v.close")
+
+
+def _columns(lines: DataFrame) -> DataFrame:
+    return lines.select("line_id", "file_name", "line_no", "line")
+
+
+def _layouts(lines: DataFrame) -> DataFrame:
+    return cut_lineage(headers(lines))  # one row a file, read out of the lines once
 
 
 def load_rows(lines: DataFrame) -> DataFrame:
-    """(line_id, file_name, line_no, datetime, close): the lines that conform in all respects, one row per line_id."""
-    conforms = F.col("quoted_well") & F.col("counted_well") & _real_datetime(F.col("datetime")) & _finite(F.col("close"))
-    ok = computed_once(_judged(lines), "conforms", conforms).filter("conforms")
+    """(line_id, file_name, line_no, datetime, close): the lines that conform in all respects, one row per line.
+
+    Rows that repeat in all of these count once. Null offsets are offsets like any other.
+    """
+    lines = _columns(lines)
+    ok = _judged(lines, _layouts(lines)).filter("reason IS NULL")
     stamp = F.to_timestamp(F.concat(F.substring("datetime", 1, 10), F.lit(" "), F.rpad(F.substring("datetime", 12, 8), 8, ":00")))
     whole = F.when(F.length("datetime") == 10, F.to_timestamp(F.col("datetime"))).otherwise(stamp)
     return ok.select("line_id", "file_name", "line_no", whole.alias("datetime"), F.col("close").cast("double").alias("close")).distinct()
@@ -92,17 +113,15 @@ def failing_lines(lines: DataFrame) -> DataFrame:
     """(line_id, file_name, line_no, line, reason): every line after the header that load_rows does not give.
 
     The first reason that applies: quoting, columns (blank and null lines, and lines of files without a header,
-    included), datetime, close. Repeated rows come out once; an empty table gives an empty result.
+    included), datetime, close. Repeated rows come out once; a line without line_id is told apart by file, number and
+    text, so that no good line takes it away; an empty table gives an empty result.
     """
-    lines = lines.select("line_id", "file_name", "line_no", "line")
-    good = load_rows(lines).select(F.col("line_id").alias("_good")).distinct()
-    rest = lines.join(good, F.col("line_id").eqNullSafe(F.col("_good")), "left_anti")
-    judged = _judged(rest)  # the headers are among the rest
-    reason = (
-        F.when(~F.col("quoted_well"), "quoting")
-        .when(~F.col("counted_well"), "columns")
-        .when(~_real_datetime(F.col("datetime")), "datetime")
-        .when(~_finite(F.col("close")), "close")
-    )
-    reasoned = computed_once(judged, "reason", reason).filter("reason IS NOT NULL")
-    return reasoned.select("line_id", "file_name", "line_no", "line", "reason").distinct()
+    lines = _columns(lines)
+    layouts = _layouts(lines)
+    offset = [F.col("line_id"), F.col("file_name"), F.col("line_no"), F.when(F.col("line_id").isNull(), F.col("line"))]
+    names = [f"_o{i}" for i in range(len(offset))]
+    loaded = _judged(lines, layouts).filter("reason IS NULL").select(*(c.alias(f"{n}l") for c, n in zip(offset, names)))
+    raw = lines.filter("line_no IS NULL OR line_no <> 1").withColumns(dict(zip(names, offset)))
+    same = [F.col(n).eqNullSafe(F.col(f"{n}l")) for n in names]
+    rest = raw.join(loaded, reduce(lambda a, b: a & b, same), "left_anti").select(*lines.columns)
+    return _judged(rest, layouts).filter("reason IS NOT NULL").select(*lines.columns, "reason").distinct()

@@ -55,7 +55,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
-    return parse_lines.load_rows(table(spark, d, "csv_lines"))
+    rows = parse_lines.load_rows(table(spark, d, "csv_lines"))
+    return rows.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _rolling(spark: SparkSession, d: str) -> DataFrame:

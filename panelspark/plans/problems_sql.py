@@ -2,6 +2,19 @@
 
 from __future__ import annotations
 
+#: The lines of csv_lines, each with the reason for which it fails (null: none).
+_LINES = r"""WITH h0 AS (SELECT file_name, min(regexp_replace(regexp_replace(line, '^\x{FEFF}', ''), '\r$', '')) AS h FROM csv_lines WHERE line_no = 1 AND line IS NOT NULL GROUP BY file_name),
+h1 AS (SELECT *, CASE WHEN length(h) - length(replace(h, ';', '')) > length(h) - length(replace(h, ',', '')) THEN ';' ELSE ',' END AS sep FROM h0),
+h2 AS (SELECT *, list_transform(regexp_extract_all(h || sep, '("(?:[^"]|"")*"|[^"' || sep || ']*)' || sep, 1), lambda x: lower(trim(trim(x, ' 	'), '"'))) AS names FROM h1),
+h AS (SELECT file_name, sep, names, CASE WHEN list_position(names, 'date') > 0 AND (coalesce(list_position(names, 'datetime'), 0) = 0 OR list_position(names, 'date') < list_position(names, 'datetime')) THEN list_position(names, 'date') ELSE list_position(names, 'datetime') END AS at_d, list_position(names, 'close') AS at_c FROM h2),
+b AS (SELECT DISTINCT l.line_id, l.line_no, l.file_name AS file, regexp_replace(coalesce(l.line, ''), '\r$', '') AS x, h.* FROM csv_lines l LEFT JOIN h USING (file_name) WHERE l.line_no IS NULL OR l.line_no <> 1),
+p AS (SELECT *, regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^"' || sep || ']*)(?:' || sep || '(?:"(?:[^"]|"")*"|[^"' || sep || ']*))*') AS quoted_well, regexp_extract_all(x || sep, '("(?:[^"]|"")*"|[^"' || sep || ']*)' || sep, 1) AS f FROM b),
+v AS (SELECT *, list_transform(f, lambda y: trim(CASE WHEN trim(y, ' 	') LIKE '"%' THEN replace(substr(trim(y, ' 	'), 2, length(trim(y, ' 	')) - 2), '""', '"') ELSE y END, ' 	')) AS vals FROM p),
+j AS (SELECT line_id, line_no, file, vals[at_d] AS dt, vals[at_c] AS cl, CASE WHEN NOT quoted_well THEN 'quoting' WHEN sep IS NULL OR trim(x, ' 	') = '' OR len(f) <> len(names) THEN 'columns'
+  WHEN NOT coalesce(regexp_full_match(vals[at_d], '[0-9]{4}-[0-9]{2}-[0-9]{2}([ T]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?)?') AND try_strptime(substr(vals[at_d], 1, 10), '%Y-%m-%d') IS NOT NULL, false) THEN 'datetime'
+  WHEN NOT coalesce(regexp_full_match(vals[at_c], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(TRY_CAST(vals[at_c] AS DOUBLE)), false) THEN 'close' END AS reason FROM v)
+"""
+
 SQL = {
     "p1_found": """
 WITH iv AS (
@@ -62,17 +75,7 @@ UNION ALL
 SELECT 'algo_returns', de.algo_id, strftime(de.day, '%Y-%m-%d') FROM de LEFT JOIN d ON d.algo_id = de.algo_id AND d.day = de.day
 WHERE d.day IS NULL AND isodow(de.day) <= 5
 """,
-    "p4_found": r"""
-WITH h0 AS (SELECT file_name, min(regexp_replace(regexp_replace(line, '^\x{FEFF}', ''), '\r$', '')) AS h FROM csv_lines WHERE line_no = 1 AND line IS NOT NULL GROUP BY file_name),
-h1 AS (SELECT *, CASE WHEN length(h) - length(replace(h, ';', '')) > length(h) - length(replace(h, ',', '')) THEN ';' ELSE ',' END AS sep FROM h0),
-h2 AS (SELECT *, list_transform(regexp_extract_all(h || sep, '("(?:[^"]|"")*"|[^"' || sep || ']*)' || sep, 1), lambda x: lower(trim(trim(x, ' 	'), '"'))) AS names FROM h1),
-h AS (SELECT file_name, sep, names, CASE WHEN list_position(names, 'date') > 0 AND (coalesce(list_position(names, 'datetime'), 0) = 0 OR list_position(names, 'date') < list_position(names, 'datetime')) THEN list_position(names, 'date') ELSE list_position(names, 'datetime') END AS at_d, list_position(names, 'close') AS at_c FROM h2),
-b AS (SELECT DISTINCT l.line_id, regexp_replace(coalesce(l.line, ''), '\r$', '') AS x, h.* FROM csv_lines l LEFT JOIN h USING (file_name) WHERE l.line_no IS NULL OR l.line_no <> 1),
-p AS (SELECT *, regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^"' || sep || ']*)(?:' || sep || '(?:"(?:[^"]|"")*"|[^"' || sep || ']*))*') AS quoted_well, regexp_extract_all(x || sep, '("(?:[^"]|"")*"|[^"' || sep || ']*)' || sep, 1) AS f FROM b),
-v AS (SELECT *, list_transform(f, lambda y: trim(CASE WHEN trim(y, ' 	') LIKE '"%' THEN replace(substr(trim(y, ' 	'), 2, length(trim(y, ' 	')) - 2), '""', '"') ELSE y END, ' 	')) AS vals FROM p),
-j AS (SELECT line_id, CASE WHEN NOT quoted_well THEN 'quoting' WHEN sep IS NULL OR trim(x, ' 	') = '' OR len(f) <> len(names) THEN 'columns'
-  WHEN NOT coalesce(regexp_full_match(vals[at_d], '[0-9]{4}-[0-9]{2}-[0-9]{2}([ T]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?)?') AND try_strptime(substr(vals[at_d], 1, 10), '%Y-%m-%d') IS NOT NULL, false) THEN 'datetime'
-  WHEN NOT coalesce(regexp_full_match(vals[at_c], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(TRY_CAST(vals[at_c] AS DOUBLE)), false) THEN 'close' END AS reason FROM v)
-SELECT line_id, reason FROM j WHERE reason IS NOT NULL
-""",
+    "p4_found": _LINES + "SELECT line_id, reason FROM j WHERE reason IS NOT NULL",
+    "p4_rows": _LINES + """SELECT DISTINCT line_id, file AS file_name, line_no, substr(dt, 1, 10) || ' ' || rpad(substr(dt, 12), 8, ':00') AS datetime, CAST(cl AS DOUBLE) AS close
+FROM (SELECT * REPLACE (CASE WHEN length(dt) = 10 THEN dt || ' 00:00' ELSE dt END AS dt) FROM j WHERE reason IS NULL)""",
 }

@@ -57,3 +57,10 @@ def test_many_files_join_by_shuffle(spark, n, monkeypatch):
 
     monkeypatch.setattr(tables, "within", lambda df, rows: False)
     assert reasons(spark, ["2022-01-18,1,1,1,1", "x"] * n) == [None, "columns"] * n
+
+
+def test_lines_without_offset_are_not_lost(spark):
+    rows = [(0, "a", 1, "date,close", "", "", 0), (None, "a", 2, "2020-01-01,1", "", "", 0), (None, "a", 3, "2020-01-01,abc", "", "", 0), (None, "a", None, "x", "", "", 0), (None, "a", None, "2020-01-02,2", "", "", 0), (None, None, None, None, "", "", 0)]
+    df = spark.createDataFrame(rows * 2, SCHEMA)
+    assert sorted(map(str, ((r["line_no"], r["line"], r["reason"]) for r in failing_lines(df).collect()))) == ["(3, '2020-01-01,abc', 'close')", "(None, 'x', 'columns')", "(None, None, 'columns')"]
+    assert sorted(r["close"] for r in load_rows(df).collect()) == [1.0, 2.0]
