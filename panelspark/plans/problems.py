@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _stamps(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
     s = table(spark, d, "stamps").withColumn("stamp", F.coalesce("datetime", "gmt_time", "ts_event"))
-    return s, {"key": "stamp_id", "file": "file_name", "stamp": "stamp", "zone": "zone_name", "epoch": F.col("ts_event").isNotNull(), "arrival": "loaded_at"}
+    return s, {"key": "stamp_id", "file": "file_name", "stamp": "stamp", "zone": "zone_name", "epoch": F.col("ts_event").isNotNull(), "arrival": "loaded_at", "line": "line_no"}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
