@@ -1,18 +1,23 @@
 """Implausible readings per source: spikes, standstills and impossible values, relative to the source's own behaviour.
 
-Per source: a robust seasonal-trend decomposition of the logarithm (running median; median by position in the day or
-week), generalised extreme studentised deviate limits on what remains, and then the test that a flagged excursion is
-far beyond the usual move and that the level returns after a few readings. Impossible values and runs of equal values
-are checked separately. A source with more than CHUNK_ROWS readings is cut along time into chunks of about as many
-rows; each chunk sees HALO readings of its neighbours and how far runs of equal values reach beyond it. What is usual
-(move, scale, seasonal medians, limits) is the whole source's: counted by chunk in narrow bins, added up, and handed to
-every chunk. The bins round a move by at most 1/8,192 of itself, a rest by at most 1/2,000 of a usual move (or of itself).
+Per source: a robust seasonal-trend decomposition of the logarithm. The season is the median by position in the day or
+week of what a running median over a whole season leaves; the trend is the running median of the deseasonalised log
+over a few readings. The generalised extreme studentised deviate test splits the rest into ordinary readings and
+deviates. The ordinary ones give the source's usual move, the mean size of the steps between neighbours; a deviate is a
+spike if it is far more usual moves away and the level returns after a few readings. Impossible values and runs of
+equal values are checked separately.
+
+All of this goes by counts in narrow bins, a source being one chunk or several: one with more than CHUNK_ROWS readings
+is cut along time into chunks of about as many rows, whose counts are added up. Each chunk sees HALO readings of its
+neighbours and how far runs of equal values reach beyond it. The bins round a move by at most 1/8,192 of itself, a rest
+by at most 1/2,000 of a median move (or of itself).
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -41,30 +46,47 @@ def t_quantile(p: float, df: np.ndarray) -> np.ndarray:
     return z + g1 / df + g2 / df**2 + g3 / df**3
 
 
-def gesd_limits(n: int, at: np.ndarray, alpha: float = 0.05) -> np.ndarray:
-    """Limit of the generalised extreme studentised deviate after `at` removals from n values."""
-    left = n - at
-    t = t_quantile(1 - alpha / (2 * n), left - 2.0)
-    return (left - 1) * t / np.sqrt((left - 2 + t * t) * left)
+@lru_cache(maxsize=1 << 16)
+def gesd_limit(left: int, alpha: float = 0.05) -> float:
+    """Limit of the generalised extreme studentised deviate test for the most extreme of `left` values."""
+    t = float(t_quantile(1 - alpha / (2 * left), np.array(left - 2.0)))
+    return (left - 1) * t / math.sqrt((left - 2 + t * t) * left)
 
 
-def gesd(values: np.ndarray, scale: float, share: float = 0.2, alpha: float = 0.05) -> np.ndarray:
-    """Mask of the values beyond the generalised extreme studentised deviate limits, with median and a robust scale.
+def gesd_bounds(values: np.ndarray, counts: np.ndarray, least_scale: float = 0.0, share: float = 0.5) -> tuple[float, float]:
+    """Bounds beyond which values are deviates by the generalised extreme studentised deviate test.
 
-    At most `share` of the values are tested one after the other; the largest number of removals at which the
-    most extreme of the rest still exceeds its limit counts.
+    values: in order, each as often as counted. The value farthest from the mean is removed, mean and deviation (at
+    least `least_scale`) are those of what is left, up to `share` of the values; the largest number of removals at
+    which the removed value exceeded its limit counts. Equal values go together, by the test of the last of them.
     """
-    n = len(values)
-    out = np.zeros(n, bool)
-    if n < 8 or scale <= 0:
-        return out
-    r = np.abs(values - np.median(values)) / scale
-    most = max(1, int(n * share))
-    top = np.argsort(-r, kind="stable")[:most]
-    beyond = np.flatnonzero(r[top] > gesd_limits(n, np.arange(most), alpha))
-    if len(beyond):
-        out[top[: beyond[-1] + 1]] = True
-    return out
+    n = int(counts.sum())
+    if n < 8:
+        return -math.inf, math.inf
+    centre = weighted_median(values, counts)
+    v, c = (values - centre).tolist(), counts.tolist()
+    left, s1, s2 = n, float(np.dot(v, counts)), float(np.dot(np.square(v), counts))
+    lo, hi, kept = 0, len(v) - 1, None
+    while lo < hi:
+        mean = s1 / left
+        down = mean - v[lo] > v[hi] - mean
+        x, m = (v[lo], c[lo]) if down else (v[hi], c[hi])
+        if n - left + m > n * share:
+            break
+        k, t1, t2 = left - m + 1, s1 - (m - 1) * x, s2 - (m - 1) * x * x  # when one copy is left
+        mean = t1 / k
+        scale = max(math.sqrt(max(t2 - k * mean * mean, 0.0) / (k - 1)), least_scale)
+        left, s1, s2 = left - m, s1 - m * x, s2 - m * x * x
+        lo, hi = (lo + 1, hi) if down else (lo, hi - 1)
+        if abs(x - mean) > gesd_limit(k) * scale:
+            kept = lo, hi
+    return (-math.inf, math.inf) if kept is None else (v[kept[0]] + centre, v[kept[1]] + centre)
+
+
+def gesd(values: np.ndarray, least_scale: float = 0.0) -> np.ndarray:
+    """Mask of the deviates among values."""
+    low, high = gesd_bounds(*np.unique(values, return_counts=True), least_scale)
+    return (values < low) | (values > high)
 
 
 def running_median(x: np.ndarray, half: int) -> np.ndarray:
@@ -81,31 +103,6 @@ def slots(ts: np.ndarray, gap: float) -> np.ndarray:
     return (ts % int(day)) // max(int(gap), int(day) // 96) if gap < day / 2 else ts // int(day) % 7
 
 
-def seasonal(rest: np.ndarray, ts: np.ndarray) -> np.ndarray:
-    """Median of the detrended values by slot of the day, or by weekday for daily values; 0 unless it explains something."""
-    none = np.zeros(len(rest))
-    if len(rest) < 40:
-        return none
-    gap = float(np.median(np.diff(ts)))
-    if gap <= 0:
-        return none
-    slot = slots(ts, gap)
-    codes, inverse, counts = np.unique(slot, return_inverse=True, return_counts=True)
-    if len(codes) < 2 or np.median(counts) < 8:
-        return none
-    medians = pd.Series(rest).groupby(inverse).median().to_numpy()
-    s = medians[inverse] - np.median(medians)
-    mad = lambda v: np.median(np.abs(v - np.median(v)))
-    return s if mad(rest - s) < 0.9 * mad(rest) else none
-
-
-def usual_move(log: np.ndarray) -> float:
-    """Median size of the moves from one reading to the next, standing still left out."""
-    d = np.abs(np.diff(log))
-    d = d[d > 0]
-    return float(np.median(d)) if len(d) else 0.0
-
-
 def weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
     order = np.argsort(values, kind="stable")
     up = np.cumsum(counts[order])
@@ -121,53 +118,108 @@ def rest_values(keys: np.ndarray, move: float) -> np.ndarray:
     return np.sinh(keys * REST_BIN) * move
 
 
-def usual_rest(slot: np.ndarray, keys: np.ndarray, counts: np.ndarray, n: int, move: float, gap: float) -> dict:
-    """Of a source's binned rests: seasonal shift by slot, centre and scale, and from how many scales on a rest is extreme.
+def season_half(gap: float, few: int) -> int:
+    """Half the readings of a season, as far as a chunk's halo reaches; at least `few`."""
+    return max(few, min(HALO - few, int(round(86_400e6 / gap / 2)))) if 0 < gap < 86_400e6 / 2 else few
+
+
+def season(slot: np.ndarray, keys: np.ndarray, counts: np.ndarray, usual: dict) -> dict:
+    """The seasonal shift by slot, from binned departures from the trend over a season; 0 unless it explains something.
 
-    The counterpart of seasonal() and gesd() on counts.
+    That is, if it shrinks the median size of the departures by a tenth more than medians of noise would.
     """
-    v = rest_values(keys, move)
-    mad = lambda x: weighted_median(np.abs(x - weighted_median(x, counts)), counts)
+    n, move, gap = usual["n"], usual["move"], usual["gap"]
     codes, inverse = np.unique(slot, return_inverse=True)
     shift = np.zeros(len(codes))
     if n >= 40 and gap > 0 and len(codes) > 1 and np.median(np.bincount(inverse, counts)) >= 8:
+        v = rest_values(keys, move)
+        mad = lambda x: weighted_median(np.abs(x - weighted_median(x, counts)), counts)
         medians = np.array([weighted_median(v[inverse == i], counts[inverse == i]) for i in range(len(codes))])
         medians -= np.median(medians)
-        if mad(v - medians[inverse]) < 0.9 * mad(v):
+        by_chance = math.sqrt(max(1 - 1.57 * len(codes) / n, 0.0))
+        if mad(v - medians[inverse]) < 0.9 * by_chance * mad(v):
             shift = medians
-    v = v - shift[inverse]
-    centre, scale, beyond = weighted_median(v, counts), max(1.4826 * mad(v), 0.5 * move), math.inf
-    if n >= 8:
-        r, back = np.unique(np.abs(v - centre) / scale, return_inverse=True)
-        r, upto = r[::-1], np.cumsum(np.bincount(back, counts)[::-1])
-        most = max(1, int(n * 0.2))
-        begins = np.concatenate([[0], upto[:-1]])
-        r, upto = r[begins < most], np.minimum(upto[begins < most], most)
-        hit = np.flatnonzero(r > gesd_limits(n, upto - 1))  # the limit falls with the removals: the last of equals decides
-        beyond = float(r[hit[-1]]) if len(hit) else math.inf
-    return {"slot": codes, "shift": shift, "centre": centre, "scale": scale, "beyond": beyond}
-
-
-def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int, usual: dict | None = None) -> np.ndarray:
-    """Mask of the readings that depart from the level around them by more than far usual moves, for at most few readings.
-
-    usual: what is usual in the source of which these readings are a part.
-    """
-    n = len(log)
+    return {"slot": codes, "shift": shift}
+
+
+def bounds(keys: np.ndarray, counts: np.ndarray, usual: dict) -> dict:
+    """The bins of the rest beyond which a reading is a deviate."""
+    order = np.argsort(keys)
+    low, high = gesd_bounds(rest_values(keys[order], usual["move"]), counts[order], 0.5 * usual["move"])
+    return {"low": low, "high": high}
+
+
+class Seen:
+    """The log of a chunk's positive values with what it sees of its neighbours; `own` are the chunk's."""
+
+    def __init__(self, log: np.ndarray, ts: np.ndarray, own: slice):
+        self.log, self.ts, self.own = log, ts.astype(np.int64), own
+
+    def move_keys(self) -> np.ndarray:
+        d = np.abs(np.diff(self.log[max(self.own.start - 1, 0) : self.own.stop]))
+        return np.floor(np.log(d[d > 0]) * MOVE_BINS).astype(np.int64)
+
+    def gap_keys(self) -> np.ndarray:
+        """Time from one reading to the next in seconds, a day at most."""
+        gap = np.diff(self.ts[max(self.own.start - 1, 0) : self.own.stop])
+        return np.where(gap > 0, np.clip(np.rint(gap / 1e6), 1, 86_400), 0).astype(np.int64)
+
+    def season_keys(self, usual: dict, few: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots, and binned departures from the trend over a season."""
+        rest = self.log - running_median(self.log, season_half(usual["gap"], few))
+        slot = slots(self.ts, usual["gap"]) if usual["gap"] > 0 else np.zeros(len(self.log), np.int64)
+        return slot[self.own], rest_keys(rest[self.own], usual["move"])
+
+    def settled(self, usual: dict) -> np.ndarray:
+        """The log without its season."""
+        if not np.any(usual["shift"]):
+            return self.log
+        return self.log - pd.Series(usual["shift"], usual["slot"]).reindex(slots(self.ts, usual["gap"])).fillna(0.0).to_numpy()
+
+    def rest(self, usual: dict, few: int) -> np.ndarray:
+        """Binned departures from the trend, of all readings seen."""
+        x = self.settled(usual)
+        return rest_keys(x - running_median(x, few), usual["move"])
+
+    def deviates(self, usual: dict, few: int) -> np.ndarray:
+        v = rest_values(self.rest(usual, few), usual["move"])
+        return (v < usual["low"]) | (v > usual["high"])
+
+    def ordinary_moves(self, usual: dict, few: int) -> tuple[float, int]:
+        """Sum and number of the moves between neighbours neither of which is a deviate, standing still left out."""
+        begin = max(self.own.start - 1, 0)
+        calm = ~self.deviates(usual, few)[begin : self.own.stop]
+        d = np.abs(np.diff(self.settled(usual)[begin : self.own.stop]))[calm[1:] & calm[:-1]]
+        return float(d.sum()), int((d > 0).sum())
+
+
+def median_move(d: np.ndarray, d_counts: np.ndarray, gap: np.ndarray, gap_counts: np.ndarray, n: int) -> dict:
+    move = weighted_median(np.exp((d + 0.5) / MOVE_BINS), d_counts) if len(d) else 0.0
+    return {"n": n, "move": move, "gap": 1e6 * weighted_median(gap.astype(float), gap_counts) if len(gap) else 0.0}
+
+
+def usual_of_whole(seen: Seen, few: int) -> dict:
+    """What is usual in a source that is a single chunk; _usual() puts the same together for several."""
+    count = lambda k: np.unique(k, return_counts=True)
+    usual = median_move(*count(seen.move_keys()), *count(seen.gap_keys()), len(seen.log))
+    if usual["move"] <= 0:
+        return usual | {"usual": 0.0}
+    usual |= season(*seen.season_keys(usual, few), np.ones(len(seen.log), int), usual)
+    usual |= bounds(*count(seen.rest(usual, few)), usual)
+    total, moves = seen.ordinary_moves(usual, few)
+    return usual | {"usual": total / moves if moves else usual["move"]}
+
+
+def spikes(seen: Seen, usual: dict, far: float, few: int) -> np.ndarray:
+    """Mask of the deviates that lie more than far usual moves away from the level around them, for at most few readings."""
+    n = len(seen.log)
     out = np.zeros(n, bool)
-    move = usual_move(log) if usual is None else usual["move"]
-    if (n if usual is None else usual["n"]) < 5 or n < 2 or move <= 0:
+    move = usual["usual"]
+    if usual["n"] < 5 or n < 2 or not move > 0:
         return out
-    rest = log - running_median(log, few)
-    if usual is None:
-        rest = rest - seasonal(rest, ts)
-        mad = 1.4826 * float(np.median(np.abs(rest - np.median(rest))))
-        extreme = gesd(rest, max(mad, 0.5 * move))
-    else:
-        shift = pd.Series(usual["shift"], usual["slot"]).reindex(slots(ts, usual["gap"]) if usual["gap"] > 0 else np.zeros(n, np.int64)).fillna(0.0).to_numpy()
-        extreme = np.abs(rest_values(rest_keys(rest, move), move) - shift - usual["centre"]) / usual["scale"] >= usual["beyond"]
-        rest = rest - shift
-    extreme &= np.abs(rest) > far / 2 * move
+    log = seen.settled(usual)
+    rest = np.abs(log - running_median(log, few))
+    extreme = seen.deviates(usual, few) & (rest > far / 2 * move)
     if not extreme.any():
         return out
     groups = lambda mask: np.split(np.flatnonzero(mask), np.flatnonzero(np.diff(np.flatnonzero(mask)) > 1) + 1)
@@ -183,7 +235,7 @@ def spikes(log: np.ndarray, ts: np.ndarray, far: float, few: int, usual: dict |
 
     farthest = extreme.copy()
     for g in groups(extreme):  # beside a far reading, those not half as far may be the level around it
-        farthest[g] = np.abs(rest[g]) >= np.abs(rest[g]).max() / 2
+        farthest[g] = rest[g] >= rest[g].max() / 2
     level, calm = np.flatnonzero(~farthest), np.flatnonzero(~extreme)
     for g in groups(farthest):
         out[g] = returns(g, level)
@@ -256,7 +308,7 @@ def _runs_at_ends(x: np.ndarray) -> tuple[int, int]:
     return first, last
 
 
-def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, far_end: float, least: int, chance: float) -> pd.DataFrame:
+def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, least: int, chance: float) -> pd.DataFrame:
     """The failing records of one chunk of a source, with the reason."""
     r = _tidy(pdf)
     ids, x, ts = r["rec_id"].to_numpy(), r["value"].to_numpy(float), r["ts"].to_numpy(float)
@@ -273,11 +325,14 @@ def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, f
         is_last = bool(h["is_last"])
         after = None if is_last else (int(h["run_after"]), float(h["value_after"]), bool(h["to_end"]))
         usual, limit = h.to_dict(), float(h["stand_limit"])
+        usual = {k: usual[k] for k in ("n", "move", "gap", "slot", "shift", "low", "high", "usual")}
     use = np.flatnonzero(ok & timed)
     log = np.log(np.concatenate([hx, x[use], tx]))
     times = np.concatenate([hts, ts[use], tts])
     off = len(hx)
-    spike = spikes(log, times.astype(np.int64), far, few, usual)
+    seen = Seen(log, times, slice(off, off + len(use)))
+    usual = usual or usual_of_whole(seen, few)
+    spike = spikes(seen, usual, far, few)
     mine = spike[off : off + len(use)]
     reason[use[mine]] = "spike"
     seq = np.flatnonzero(timed)
@@ -292,11 +347,10 @@ def _judge(pdf: pd.DataFrame, halo: pd.DataFrame | None, far: float, few: int, f
         v = ends["value"].to_numpy(float)
         bad = ~(np.isfinite(v) & (v > 0))
         calm = log[: off + len(use)][~spike[: off + len(use)]][-10:]
-        move = usual_move(log) if usual is None else usual["move"]
         far_out = np.zeros(len(v), bool)
-        if len(calm) and move > 0:
+        if len(calm) and usual["usual"] > 0:
             lv = np.log(np.where(bad, 1.0, v))
-            far_out = ~bad & (np.maximum(calm.min() - lv, lv - calm.max()) > far_end * move)
+            far_out = ~bad & (np.maximum(calm.min() - lv, lv - calm.max()) > far * usual["usual"])
         why = np.where(bad, "range", "end")
         out.append(pd.DataFrame({"tab": "trim_info", "rec_id": ends["rec_id"].to_numpy()[bad | far_out], "reason": why[bad | far_out]}))
     return pd.concat(out).astype({"rec_id": "int64"})
@@ -387,72 +441,82 @@ def _counted(key: tuple, **keys: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(keys).value_counts().rename("m").reset_index().assign(source=key[0])
 
 
-def _valid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _seen(pdf: pd.DataFrame, halo: pd.DataFrame) -> Seen | None:
     ts, x = _timed(pdf)
     ok = np.isfinite(x) & (x > 0)
-    return ts[ok], x[ok]
+    if not len(halo) or not ok.any():
+        return None
+    h = halo.iloc[0]
+    return Seen(np.log(np.concatenate([h["head_v"], x[ok], h["tail_v"]])), np.concatenate([h["head_t"], ts[ok], h["tail_t"]]), slice(len(h["head_v"]), len(h["head_v"]) + int(ok.sum())))
 
 
 def _moves(key: tuple, pdf: pd.DataFrame, halo: pd.DataFrame) -> pd.DataFrame:
-    """Counts of a chunk's moves (what 0) and time gaps in seconds, a day at most (1), from the reading before it on, and of its readings (2)."""
-    ts, x = _valid(pdf)
-    if not len(halo) or not len(x):
+    """Counts of a chunk's moves (what 0) and time gaps (1), from the reading before it on, and of its readings (2)."""
+    seen = _seen(pdf, halo)
+    if seen is None:
         return pd.DataFrame({"source": [], "what": [], "k": [], "m": []})
-    h = halo.iloc[0]
-    d = np.abs(np.diff(np.log(np.concatenate([h["head_v"][-1:], x]))))
-    gap = np.diff(np.concatenate([h["head_t"][-1:], ts]))
-    d = np.floor(np.log(d[d > 0]) * MOVE_BINS)
-    gap = np.where(gap > 0, np.clip(np.rint(gap / 1e6), 1, 86_400), 0)
-    return _counted(key, what=np.repeat([0, 1, 2], [len(d), len(gap), len(x)]), k=np.concatenate([d, gap, np.zeros(len(x))]).astype(np.int64))
-
-
-def _usual_move(pdf: pd.DataFrame) -> pd.DataFrame:
-    of = lambda i: pdf[pdf["what"] == i]
-    d, gap = of(0), of(1)
-    move = weighted_median(np.exp((d["k"].to_numpy() + 0.5) / MOVE_BINS), d["m"].to_numpy()) if len(d) else 0.0
-    gap = 1e6 * weighted_median(gap["k"].to_numpy(float), gap["m"].to_numpy()) if len(gap) else 0.0
-    return pd.DataFrame([{"source": pdf["source"].iloc[0], "n": of(2)["m"].sum(), "move": move, "gap": gap}])
-
-
-def _rests(key: tuple, pdf: pd.DataFrame, halo: pd.DataFrame, few: int) -> pd.DataFrame:
-    """Counts of a chunk's departures from the running median, by slot."""
-    ts, x = _valid(pdf)
-    if not len(halo) or not len(x) or halo["move"].iloc[0] <= 0:
-        return pd.DataFrame({"source": [], "slot": [], "k": [], "m": []})
-    h = halo.iloc[0]
-    log = np.log(np.concatenate([h["head_v"], x, h["tail_v"]]))
-    rest = (log - running_median(log, few))[len(h["head_v"]) :][: len(x)]
-    slot = slots(ts.astype(np.int64), h["gap"]) if h["gap"] > 0 else np.zeros(len(x), np.int64)
-    return _counted(key, slot=slot, k=rest_keys(rest, h["move"]))
+    d, gap, n = seen.move_keys(), seen.gap_keys(), seen.own.stop - seen.own.start
+    return _counted(key, what=np.repeat([0, 1, 2], [len(d), len(gap), n]), k=np.concatenate([d, gap, np.zeros(n, np.int64)]))
 
 
-def _usual_rest(pdf: pd.DataFrame) -> pd.DataFrame:
-    n, move, gap = (pdf[c].iloc[0] for c in ("n", "move", "gap"))
-    rest = usual_rest(*(pdf[c].to_numpy() for c in ("slot", "k", "m")), int(n), float(move), float(gap))
-    return pd.DataFrame([{"source": pdf["source"].iloc[0]} | rest])
+def _median_move(pdf: pd.DataFrame) -> pd.DataFrame:
+    of = lambda i: tuple(pdf.loc[pdf["what"] == i, c].to_numpy() for c in ("k", "m"))
+    return pd.DataFrame([{"source": pdf["source"].iloc[0]} | median_move(*of(0), *of(1), int(of(2)[1].sum()))])
 
 
 def _usual(cut: DataFrame, halos: DataFrame, few: int) -> DataFrame:
-    """(source, n, move, gap, slot, shift, centre, scale, beyond): what is usual in each source that is cut."""
+    """(source, n, move, gap, slot, shift, low, high, usual): what is usual in each source that is cut.
+
+    Four passes over the chunks, each after what the one before has added up: moves, season, deviates, ordinary moves.
+    """
     chunks = cut.groupBy("source", "chunk")
+
+    def passed(known: DataFrame, of_chunk, schema: str) -> DataFrame:
+        def run(key: tuple, pdf: pd.DataFrame, halo: pd.DataFrame) -> pd.DataFrame:
+            seen = _seen(pdf, halo)
+            if seen is None or halo["move"].iloc[0] <= 0:
+                return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return of_chunk(key, seen, halo.iloc[0].to_dict())
+
+        return chunks.cogroup(halos.join(known, "source").groupBy("source", "chunk")).applyInPandas(run, schema)
+
+    def added(counts: DataFrame, known: DataFrame, names: list[str], put_together, schema: str) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            usual = pdf.iloc[0].to_dict()
+            return pd.DataFrame([{"source": usual["source"]} | put_together(*(pdf[c].to_numpy() for c in (*names, "m")), usual)])
+
+        of_source = counts.groupBy("source", *names).agg(F.sum("m").alias("m")).join(known, "source").groupBy("source")
+        return cut_lineage(known.join(of_source.applyInPandas(run, f"source long, {schema}"), "source", "left"))
+
     counts = chunks.cogroup(halos.groupBy("source", "chunk")).applyInPandas(_moves, "source long, what int, k long, m long")
-    moves = counts.groupBy("source", "what", "k").agg(F.sum("m").alias("m")).groupBy("source").applyInPandas(_usual_move, "source long, n long, move double, gap double")
-    moves = cut_lineage(moves)
-    seen = halos.join(moves, "source")
-    counts = chunks.cogroup(seen.groupBy("source", "chunk")).applyInPandas(lambda key, pdf, halo: _rests(key, pdf, halo, few), "source long, slot long, k long, m long")
-    counts = counts.groupBy("source", "slot", "k").agg(F.sum("m").alias("m")).join(moves, "source")
-    rests = counts.groupBy("source").applyInPandas(_usual_rest, "source long, slot array<long>, shift array<double>, centre double, scale double, beyond double")
-    return moves.join(rests, "source", "left")
+    counts = counts.groupBy("source", "what", "k").agg(F.sum("m").alias("m"))
+    known = cut_lineage(counts.groupBy("source").applyInPandas(_median_move, "source long, n long, move double, gap double"))
+
+    def slots_and_rests(key: tuple, seen: Seen, usual: dict) -> pd.DataFrame:
+        slot, k = seen.season_keys(usual, few)
+        return _counted(key, slot=slot, k=k)
+
+    counts = passed(known, slots_and_rests, "source long, slot long, k long, m long")
+    known = added(counts, known, ["slot", "k"], season, "slot array<long>, shift array<double>")
+    counts = passed(known, lambda key, seen, usual: _counted(key, k=seen.rest(usual, few)[seen.own]), "source long, k long, m long")
+    known = added(counts, known, ["k"], bounds, "low double, high double")
+
+    def ordinary(key: tuple, seen: Seen, usual: dict) -> pd.DataFrame:
+        total, moves = seen.ordinary_moves(usual, few)
+        return pd.DataFrame([{"source": key[0], "total": total, "moves": moves}])
+
+    sums = passed(known, ordinary, "source long, total double, moves long").groupBy("source").agg((F.sum("total") / F.sum("moves")).alias("mean"))
+    return known.join(sums, "source", "left").withColumn("usual", F.coalesce("mean", "move")).drop("mean")
 
 
-def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: int = 5, far_end: float = 20.0, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: int = 5, least: int = 5, log10_chance: float = -4.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(tab, rec_id, reason): the records that do not fit the normal behaviour of their own source.
 
     readings: source long, ts, rec_id long, value; reported as tab `ohlc` with reason range (not a positive finite
-    number), spike (more than `far` usual moves away from the level on both sides, for at most `few` readings) or
+    number), spike (a deviate more than `far` usual moves away from the level on both sides, for at most `few` readings) or
     standstill (a run of at least `least` equal values of which fewer than 10 ** log10_chance were to be expected,
     from its second reading on, unless it lasts to the source's end). ends: source long, rec_id long, value, an end
-    value per source; reported as tab `trim_info` with reason range or end (more than `far_end` usual moves outside
+    value per source; reported as tab `trim_info` with reason range or end (more than `far` usual moves outside
     the last ten calm readings). Null values and record ids are no cases. Readings without a time are only checked
     for range. A null source is a source of its own. Repeated rows count once; ties in time go by rec_id; empty tables
     give an empty result.
@@ -461,7 +525,7 @@ def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: in
     e = ends.select(F.col("source").cast("long"), F.lit(None).cast("long").alias("ts"), F.col("rec_id").cast("long"), F.col("value").cast("double"), F.lit(1).alias("kind")).filter("rec_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     per = readings.groupBy(F.col("source").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     large = per.filter(F.col("n") > chunk_rows)
-    args = (far, few, far_end, least, log10_chance)
+    args = (far, few, least, log10_chance)
     if within(large, 0):
         rows = r.unionByName(e)
         return rows.groupBy("source").applyInPandas(lambda pdf: _judge(pdf, None, *args), _OUT)

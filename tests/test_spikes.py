@@ -62,11 +62,11 @@ def test_chunks_give_the_same(spark, chunk):
 
 
 def test_chunks_go_by_what_is_usual_in_the_whole_file(spark):
-    """Volatility changes between chunks: the limit of ten usual moves is the file's, about 0.0053 in 1 and 0.018 in 2."""
+    """Volatility changes between chunks: the limit of ten usual moves is the file's, about 0.011 in 1 and 0.014 in 2."""
     step = lambda n, m, seed: np.log(zigzag(n, seed, m) / 100)
     files = {1: np.concatenate([step(1800, 0.0005, 1), step(1200, 0.002, 2)]), 2: np.concatenate([step(1200, 0.0005, 3), step(1800, 0.002, 4)])}
     for x in files.values():
-        x[[500, 2500]] += 0.012
+        x[[500, 2500]] += 0.0135
     files = {f: 100 * np.exp(x) for f, x in files.items()}
     want = {("ohlc", 100_500, "spike"), ("ohlc", 102_500, "spike")}
     assert run(spark, files) == want
@@ -117,7 +117,7 @@ def zigzag(n, seed=11, move=0.001):
 
 def test_over_ten_usual_moves_is_a_spike(spark):
     v = zigzag(400)
-    move = sp.usual_move(np.log(v))
+    move = np.median(np.abs(np.diff(np.log(v))))
     v[100] = 100 * np.exp(11.5 * move)
     v[200] = 100 * np.exp(-11.0 * move)
     v[300] = 100 * np.exp(9.0 * move)
@@ -138,3 +138,40 @@ def test_t_quantile_and_limits():
     x = np.random.default_rng(0).normal(0, 1, 200)
     x[[5, 50]] = 12, -15
     assert set(np.flatnonzero(sp.gesd(x, 1.0))) >= {5, 50} and sp.gesd(x, 1.0).sum() < 5
+
+
+def test_gesd_recomputes_after_each_removal():
+    """Against the test by its definition, value by value."""
+    rng = np.random.default_rng(3)
+    for k in range(20):
+        x = rng.standard_t(3, 120)
+        x[:k] += 30
+        left, removed, deviates = list(range(120)), [], 0
+        for i in range(60):
+            v = x[left]
+            at = int(np.argmax(np.abs(v - v.mean())))
+            if abs(v[at] - v.mean()) / v.std(ddof=1) > sp.gesd_limit(len(v)):
+                deviates = i + 1
+            removed.append(left.pop(at))
+        assert set(np.flatnonzero(sp.gesd(x))) == set(removed[:deviates])
+
+
+def test_without_deviates_there_are_no_spikes(spark, monkeypatch):
+    v = zigzag(400)
+    v[::9] *= 1.05  # with these left in, the mean move would be eleven times as large
+    want = {("ohlc", 100_000 + i, "spike") for i in range(9, 399, 9)}
+    assert run(spark, {1: v}) == want
+    seen = sp.Seen(np.log(v), np.arange(400) * 3_600_000_000, slice(0, 400))
+    assert sp.spikes(seen, sp.usual_of_whole(seen, 5), 10.0, 5).sum() == len(want)
+    monkeypatch.setattr(sp, "gesd_bounds", lambda *_: (-np.inf, np.inf))
+    assert not sp.spikes(seen, sp.usual_of_whole(seen, 5), 10.0, 5).any()
+
+
+@pytest.mark.parametrize("chunk", [sp.CHUNK_ROWS, 200])
+def test_what_comes_back_every_day_is_no_spike(spark, chunk):
+    """One hour of each day lies thirty usual moves above the others; a reading as high at another hour is a spike."""
+    x = np.log(zigzag(960))
+    x[15::24] += 0.03
+    x[500] += 0.03
+    x[15 + 24 * 20] -= 0.03  # the hour that should be high and is not
+    assert run(spark, {1: 100 * np.exp(x)}, chunk_rows=chunk) == {("ohlc", 100_500, "spike"), ("ohlc", 100_495, "spike")}
