@@ -188,7 +188,7 @@ def activity_gaps(dense: DataFrame, key: str = "algo_id") -> DataFrame:
     """dense (key, date, present) with days since the last and until the next active day; 0 on active days."""
     w = by(key)
     seen = F.last(F.when(F.col("present"), F.col("date")), ignorenulls=True).over(so_far(w))
-    coming = F.first(F.when(F.col("present"), F.col("date")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    coming = F.last(F.when(F.col("present"), F.col("date")), ignorenulls=True).over(so_far(by(key, F.col("date").desc())))
     return dense.withColumn("since_last", F.datediff("date", seen)).withColumn("until_next", F.datediff(coming, "date"))
 
 
@@ -202,9 +202,9 @@ def filled_and_interpolated(dense: DataFrame, value: str, key: str = "algo_id")
     """dense with the value carried forward, carried back, and interpolated linearly in time between known ones."""
     w = by(key)
     known = F.col(value).isNotNull()
-    back, ahead = so_far(w), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = so_far(w), so_far(by(key, F.col("date").desc()))
     at = F.struct(F.col("date").alias("d"), F.col(value).alias("v"))
-    x = dense.withColumn("_a", F.last(F.when(known, at), ignorenulls=True).over(back)).withColumn("_b", F.first(F.when(known, at), ignorenulls=True).over(ahead))
+    x = dense.withColumn("_a", F.last(F.when(known, at), ignorenulls=True).over(back)).withColumn("_b", F.last(F.when(known, at), ignorenulls=True).over(ahead))
     gap = F.datediff(F.col("_b.d"), F.col("_a.d"))
     linear = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.datediff("date", F.col("_a.d")) / F.when(gap > 0, gap)
     return x.withColumn("ffill", F.col("_a.v")).withColumn("bfill", F.col("_b.v")).withColumn("linear", F.when(known, F.col(value)).otherwise(linear)).drop("_a", "_b")

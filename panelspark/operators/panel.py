@@ -9,8 +9,8 @@ from pyspark.sql.window import WindowSpec
 from ..sources.tables import with_single
 
 
-def by(key: str | list[str], order: str | list[str] = "date") -> WindowSpec:
-    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*([order] if isinstance(order, str) else order))
+def by(key: str | list[str], order: str | Column | list[str] = "date") -> WindowSpec:
+    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*(order if isinstance(order, list) else [order]))
 
 
 def so_far(w: WindowSpec) -> WindowSpec:

@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import with_single
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", fallback: str = "null", strict: bool = False) -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", fallback: str = "null", strict: bool = False, block_days: int = 32
+) -> DataFrame:
     """left with `values` of the right row nearest in time: the last one at or before (backward) or the first one at or after (forward).
 
     strict leaves out rows at the same time. fallback="first": where nothing is at or before, the first right row of
-    the key (which lies in the future). Both sides meet in one sort per key; of right rows with equal time the one
-    with the greatest values counts. Null keys or times match nothing.
+    the key (which lies in the future); "both": those in columns of their own, `<value>_or_first`. Both sides meet in
+    one sort per (key, block of block_days days), in the direction in which values are carried; into each block one
+    row carries the value that the blocks before it leave, so no key meets in one task. Of right rows with equal time
+    the one with the greatest values counts. Null keys or times match nothing; empty sides are no case of their own.
     """
+    back = direction == "backward"
     row = F.struct(*(F.col(v).alias(v) for v in values))
-    r = right.groupBy(*keys, F.col(right_ts).alias("_t")).agg(F.max(row).alias("_v")).withColumn("_right", F.lit(True)).filter("_t IS NOT NULL")
+    whole = lambda *cs: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cs))
+    block = lambda t: F.floor(F.unix_date(F.col(t).cast("date")) / F.lit(block_days))
+    r = right.filter(whole(*keys, right_ts)).groupBy(*keys, F.col(right_ts).alias("_t")).agg(F.max(row).alias("_v"))
+    r = r.withColumn("_block", block("_t"))
     names = left.columns
-    left_row = F.struct(*names).alias("_left")
-    a = left.select(*keys, F.col(left_ts).alias("_t"), left_row, F.lit(False).alias("_right"))
-    both = a.unionByName(r, allowMissingColumns=True)
-    back = direction == "backward"
-    right_first = back != strict  # at equal times: whether the left row sees the right one from where it stands
-    w = Window.partitionBy(*keys).orderBy("_t", F.when(F.col("_right") == right_first, 0).otherwise(1))
-    if back:
-        found = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    if fallback == "first":
-        found = F.coalesce(found, F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    out = both.withColumn("_f", found).filter("NOT _right")
-    known = F.col("_left")[left_ts].isNotNull()
-    for k in keys:
-        known = known & F.col("_left")[k].isNotNull()
-    return out.select(*(F.col("_left")[n].alias(n) for n in names), *(F.when(known, F.col("_f")[v]).alias(v) for v in values))
+    as_row = F.struct(*names).alias("_left")
+    known = whole(*keys, left_ts)
+    a = left.filter(known).select(*keys, F.col(left_ts).alias("_t"), block(left_ts).alias("_block"), as_row)
+
+    # What each block is given: the last value in the blocks before it, in the direction of the search.
+    ends = r.groupBy(*keys, "_block").agg(F.max_by("_v", "_t").alias("_last"), F.min_by("_v", "_t").alias("_first"))
+    blocks = a.select(*keys, "_block").distinct().unionByName(ends, allowMissingColumns=True).groupBy(*keys, "_block").agg(F.max("_last").alias("_last"), F.max("_first").alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_block" if back else F.col("_block").desc())
+    carried = F.last("_last" if back else "_first", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("_first", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    given = blocks.select(*keys, "_block", carried.alias("_v"), first.alias("_f0"), F.lit(0).alias("_rank"))
+
+    right_first = not strict  # at equal times: whether the left row sees the right one from where it stands
+    both = a.withColumn("_rank", F.lit(2)).unionByName(r.withColumn("_rank", F.lit(1 if right_first else 3)), allowMissingColumns=True).unionByName(given, allowMissingColumns=True)
+    time = F.col("_t") if back else F.col("_t").desc()
+    w = Window.partitionBy(*keys, "_block").orderBy(F.when(F.col("_rank") == 0, 0).otherwise(1), time, "_rank").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).withColumn("_f0", F.last("_f0", ignorenulls=True).over(w)).filter("_rank = 2")
+    found = F.coalesce("_v", "_f0") if fallback == "first" else F.col("_v")
+    picked = [found[v].alias(v) for v in values]
+    if fallback == "both":
+        picked += [F.coalesce("_v", "_f0")[v].alias(f"{v}_or_first") for v in values]
+    out = out.select(*(F.col("_left")[n].alias(n) for n in names), *picked)
+    return out.unionByName(left.filter(~known), allowMissingColumns=True)
 
 
 def clean_trade_dates(trades: DataFrame) -> DataFrame:

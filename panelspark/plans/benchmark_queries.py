@@ -115,10 +115,8 @@ WITH {_OPENED}, q AS (SELECT t.trade_id, t.algo_id, arg_max(px.close, px.date) A
 f AS (SELECT algo_id, arg_min(close, date) AS c FROM px GROUP BY algo_id)
 SELECT q.trade_id, round(q.c, 4) AS close, round(coalesce(q.c, f.c), 4) AS close_or_first FROM q LEFT JOIN f USING (algo_id)""", digits=4)
 def asof_price(spark: SparkSession, d: str) -> DataFrame:
-    t, p = _opened(spark, d), nation_prices(spark, d)
-    a = tp.asof_join(t, p, ["algo_id"], "at_open", "date", ["close"])
-    b = tp.asof_join(a, p.withColumnRenamed("close", "close_or_first"), ["algo_id"], "at_open", "date", ["close_or_first"], fallback="first")
-    return b.select("trade_id", "close", "close_or_first")
+    a = tp.asof_join(_opened(spark, d), nation_prices(spark, d), ["algo_id"], "at_open", "date", ["close"], fallback="both")
+    return a.select("trade_id", "close", "close_or_first")
 
 
 @query(f"WITH {_OPENED} SELECT t.trade_id, round(arg_min(px.close, px.date), 4) AS close FROM t LEFT JOIN px ON px.algo_id = t.algo_id AND px.date > t.at_open GROUP BY t.trade_id", digits=4)
