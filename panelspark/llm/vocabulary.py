@@ -11,13 +11,20 @@ import numpy as np
 #: Where the public tokenizers' files are.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
-#: Bytes after which a text is cut at the next certain cut.
-FRAGMENT_BYTES = 512
+#: Bytes a fragment has at least: with 1 a text is cut at every certain cut.
+FRAGMENT_BYTES = 1
+#: Fragments whose ids a process remembers, and the bytes up to which one is remembered.
+REMEMBERED, SHORT = 200_000, 32
+#: Bytes of a text in which certain cuts are looked for at a time.
+BLOCK = 1 << 20
 
 # Fixed value: the published pattern that splits text before the merges of these rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# The characters with the Unicode property White_Space.
-WHITE_SPACE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# White space among the ASCII characters; those of them that only some definitions count; the first two
+# bytes, in UTF-8, of all other white space (and of other characters, which then are no places for a cut either).
+BLANKS = (9, 10, 11, 12, 13, 32)
+DOUBTFUL = (28, 29, 30, 31)
+WIDE_BLANKS = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 
 
 class Vocabulary:
@@ -41,57 +48,71 @@ class Vocabulary:
             if len(token) > 1:
                 t = np.frombuffer(token, np.uint8).astype(np.int64)
                 self.never[t[:-1] * 256 + t[1:]] = False
+        self.remembered: dict[bytes, list[int]] = {}
+        self._left, self._right = np.ones(256, bool), np.ones(256, bool)
+        self._left[[*BLANKS, *DOUBTFUL]] = False
+        self._right[[*DOUBTFUL, ord("'"), *range(0x80, 0xC0)]] = False  # and not within a character
+        self._blank, self._wide = np.zeros(256, bool), np.zeros(65536, bool)
+        self._blank[[*BLANKS]] = True
+        self._wide[[a * 256 + b for a, b in WIDE_BLANKS]] = True
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text taken whole; strings of special tokens are ordinary text."""
         return np.asarray(self.encoding.encode_ordinary(text), np.int32)
 
-    @staticmethod
-    def _pattern_unmoved(left: str, right: str) -> bool:
-        """Whether a cut between two characters leaves the pattern's splits as they are.
+    def cuts(self, data: bytes) -> np.ndarray:
+        """Every certain cut of a text, as byte positions, in order.
 
-        The left one must not be white space (a run of it looks ahead). White space on the right always begins a new
-        split; anything else goes on in, or begins, a split of its class, unless an apostrophe is involved.
+        The pair of bytes occurs in no token, and the pattern's splits stay as they are: the character on the left is
+        no white space (a run of it looks ahead); white space on the right always begins a new split; anything else
+        goes on in, or begins, a split of its class, unless an apostrophe is involved.
         """
-        if left.isspace():
-            return False
-        if right in WHITE_SPACE:
-            return True
-        return not right.isspace() and left != "'" and right != "'"
-
-    def next_cut(self, data: bytes, at: np.ndarray, start: int) -> int:
-        """First certain cut at or after byte `start`, or the end."""
-        n = len(data)
-        while start < n:
-            stop = min(n, start + 4096)
-            pairs = at[start - 1 : stop - 1].astype(np.int64) * 256 + at[start:stop]
-            heads = (at[start:stop] & 0xC0) != 0x80  # at the beginning of a character
-            for i in np.flatnonzero(self.never[pairs] & heads):
-                k = start + int(i)
-                left = data[max(0, k - 4) : k].decode("utf-8", "ignore")[-1:]
-                right = data[k : k + 4].decode("utf-8", "ignore")[:1]
-                if left and right and self._pattern_unmoved(left, right):
-                    return k
-            start = stop
-        return n
+        whole = np.frombuffer(data, np.uint8)
+        found = [self._cuts(whole[max(at - 3, 0) : at + BLOCK + 2], min(at, 3)) + max(at - 3, 0) for at in range(0, len(data), BLOCK)]
+        return found[0] if len(found) == 1 else np.concatenate([np.empty(0, np.int64), *found])
+
+    def _cuts(self, b: np.ndarray, begin: int) -> np.ndarray:
+        """Of a block's own positions, from `begin` on; it comes with the three bytes before and the two after it."""
+        pair = np.left_shift(b[:-1].astype(np.uint16), 8) | b[1:]
+        k = np.flatnonzero(self.never[pair]) + 1
+        k = k[(k >= begin) & (k < begin + BLOCK)]
+        k = k[self._left[b[k - 1]] & self._right[b[k]]]
+        k = k[(b[k - 1] != ord("'")) | self._blank[b[k]]]
+        wide = np.zeros(len(b) + 4, bool)  # wide[i + 3]: of the bytes i and i + 1
+        wide[3 : 3 + len(pair)] = self._wide[pair]
+        return k[~(wide[k + 3] | wide[k + 1] | wide[k])]
 
     def fragments(self, text: str, size: int = FRAGMENT_BYTES) -> list[str]:
-        """The text cut at the first certain cut after every `size` bytes."""
+        """The text cut at certain cuts into fragments of at least `size` bytes (the last one may be shorter)."""
         data = text.encode("utf-8", "surrogatepass")
-        if len(data) <= size:
-            return [text]
-        at, out, start = np.frombuffer(data, np.uint8), [], 0
-        while start < len(data):
-            stop = self.next_cut(data, at, start + size) if start + size < len(data) else len(data)
-            out.append(data[start:stop].decode("utf-8", "surrogatepass"))
-            start = stop
-        return out
+        return [f.decode("utf-8", "surrogatepass") for f in self._fragments(data, size)]
+
+    def _fragments(self, data: bytes, size: int) -> list[bytes]:
+        cuts = self.cuts(data)
+        if size > 1:
+            kept, at = [], 0
+            while (i := int(np.searchsorted(cuts, at + size))) < len(cuts):
+                at = int(cuts[i])
+                kept.append(at)
+            cuts = np.asarray(kept, np.int64)
+        ends = [*cuts.tolist(), len(data)]
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_by_fragments(self, text: str | None, size: int = FRAGMENT_BYTES) -> np.ndarray:
         """The same ids as encode(), one fragment at a time; empty for an empty or null text."""
         if not text:
             return np.empty(0, np.int32)
-        return np.concatenate([self.encode(f) for f in self.fragments(text, size)])
+        ids, known = [], self.remembered
+        for f in self._fragments(text.encode("utf-8", "surrogatepass"), size):
+            of_f = known.get(f)
+            if of_f is None:
+                of_f = self.encoding.encode_ordinary(f.decode("utf-8", "surrogatepass"))
+                if len(f) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[f] = of_f
+            ids += of_f
+        return np.asarray(ids, np.int32)
 
 
 @lru_cache(maxsize=4)

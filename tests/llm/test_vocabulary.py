@@ -50,3 +50,29 @@ def test_texts_of_ordinary_length_are_cut():
     text = "word and more words, again. " * 60
     assert len(text) < 2000 and len(v.fragments(text)) > 2
     assert v.encode_by_fragments(text).tolist() == v.encode(text).tolist()
+
+
+def test_nearly_every_text_with_a_cut_is_cut():
+    v = vocabulary()
+    for text in ("Note: all fine.", "Sell-off, then calm", "2024-05-01 07:30 ERROR x"):
+        assert len(v.fragments(text)) > 1 and v.encode_by_fragments(text).tolist() == v.encode(text).tolist()
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
+def test_blocks_find_the_same_cuts(block, monkeypatch):
+    from panelspark.llm import vocabulary as module
+
+    v = vocabulary()
+    want = [v.cuts(t.encode()).tolist() for t in SAMPLES]
+    monkeypatch.setattr(module, "BLOCK", block)
+    assert [v.cuts(t.encode()).tolist() for t in SAMPLES] == want
+
+
+def test_what_is_remembered_stays_bounded(monkeypatch):
+    from panelspark.llm import vocabulary as module
+
+    v = vocabulary()
+    monkeypatch.setattr(module, "REMEMBERED", 50)
+    v.remembered.clear()
+    text = "".join(f"{i}, word{i * 7919} " for i in range(2000))
+    assert v.encode_by_fragments(text).tolist() == v.encode(text).tolist() and len(v.remembered) <= 50
