@@ -109,7 +109,17 @@ def pieces(text: str | None, v: Vocabulary, limit: int = LIMIT, overlap: int = O
     at = np.concatenate([[0], np.cumsum(v.n_bytes[ids])])
     s = strengths(data)[at]
     table = Boundaries(s, limit)
-    size = lambda a, b: len(v.encode(data[at[a] : at[b]].decode("utf-8", "surrogatepass")))
+    sure = np.searchsorted(at, np.concatenate([[0], v.cuts(data), [len(data)]]))  # token numbers of the certain cuts
+
+    def size(a: int, b: int) -> int:
+        """Tokens of the text of tokens a to b by itself: between certain cuts those of the whole text, at its ends counted anew."""
+        x, y = int(np.searchsorted(sure, a)), int(np.searchsorted(sure, b, "right")) - 1
+        count = lambda i, j: len(v.encode(data[at[i] : at[j]].decode("utf-8", "surrogatepass"))) if j > i else 0
+        if x > y:
+            return count(a, b)
+        c, d = int(sure[x]), int(sure[y])
+        return count(a, c) + d - c + count(d, b)
+
     out, start, end, repeated = [], 0, 0, 0
     while end < n:
         longest = limit
