@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from .panel import by, last_rows, so_far
 
 YEAR = 252.0
@@ -136,7 +137,7 @@ def expanding_quantiles(m: DataFrame, value: str, at: tuple[float, ...] = (0.25,
 def autocorrelation(e: DataFrame, lag: int, key: str = "algo_id") -> DataFrame:
     """(key, autocorr, n): correlation of a return with the one `lag` rows before."""
     x = e.withColumn("_l", F.lag("ret", lag).over(by(key))).filter("_l IS NOT NULL")
-    return x.groupBy(key).agg(F.corr("ret", "_l").alias("autocorr"), F.count(F.lit(1)).alias("n"))
+    return x.groupBy(key).agg(corr("ret", "_l").alias("autocorr"), F.count(F.lit(1)).alias("n"))
 
 
 def runs(df: DataFrame, key: str | list[str], state: str, order: str = "date") -> DataFrame:
@@ -173,7 +174,7 @@ def leave_one_out_beta(panel: DataFrame, key: str = "algo_id") -> DataFrame:
     total = panel.groupBy("date").agg(F.sum("ret").alias("_s"), F.count(F.lit(1)).alias("_n"))
     x = panel.join(total, "date").filter("_n > 1").withColumn("others", (F.col("_s") - F.col("ret")) / (F.col("_n") - 1))
     var = F.var_samp("others")
-    return x.groupBy(key).agg((F.covar_samp("ret", "others") / F.when(var > 1e-15, var)).alias("beta"), F.corr("ret", "others").alias("corr"), F.count(F.lit(1)).alias("n"))
+    return x.groupBy(key).agg((F.covar_samp("ret", "others") / F.when(var > 1e-15, var)).alias("beta"), corr("ret", "others").alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def average_rank(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from ..sources.tables import with_single
 from .features import YEAR
 from .panel import by, last_rows, so_far
@@ -111,7 +112,7 @@ def against(e: DataFrame, bench: DataFrame, key: str = "algo_id", least: int = 2
     x = e.select(key, "date", "ret").join(bench.select("date", F.col("ret").alias("b")), "date", "left")
     x = x.withColumn("r", F.when(F.col("b").isNotNull(), F.col("ret"))).withColumn("d", F.col("r") - F.col("b"))
     common = x.filter("b IS NOT NULL").withColumn("before", F.coalesce(F.lag("b").over(by(key)), F.lit(0.0)))
-    g = common.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.corr("r", "b").alias("c"), F.covar_samp("r", "b").alias("cov"), F.var_samp("b").alias("v"), F.avg("r").alias("mr"), F.avg("b").alias("mb"), F.corr("r", "before").alias("t"), F.stddev_samp("d").alias("sd"), F.avg("d").alias("md"))
+    g = common.groupBy(key).agg(F.count(F.lit(1)).alias("n"), corr("r", "b").alias("c"), F.covar_samp("r", "b").alias("cov"), F.var_samp("b").alias("v"), F.avg("r").alias("mr"), F.avg("b").alias("mb"), corr("r", "before").alias("t"), F.stddev_samp("d").alias("sd"), F.avg("d").alias("md"))
     g = e.select(key).distinct().join(g, key, "left")
     ok = F.coalesce(F.col("n") >= least, F.lit(False))
     moves = ok & (F.col("v") > 0)
@@ -142,12 +143,12 @@ def behaviour(panel: DataFrame, key: str = "algo_id", least: int = 30) -> DataFr
     quantile = lambda q: F.expr(f"percentile(ret, {q})")
     low = F.least("ret", F.lit(0.0))
     g = x.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.stddev_samp(low).alias("ds"), F.corr("ret", "l1").alias("autocorr_1"), F.corr("ret", "l5").alias("autocorr_5"), _skewness("ret").alias("skewness"),
+        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.stddev_samp(low).alias("ds"), corr("ret", "l1").alias("autocorr_1"), corr("ret", "l5").alias("autocorr_5"), _skewness("ret").alias("skewness"),
         _kurtosis("ret").alias("kurtosis"), quantile(0.95).alias("hi"), quantile(0.05).alias("lo"), F.min("dd").alias("max_dd"),
     )
     both = x.filter("o IS NOT NULL").withColumn("q", F.product(1 + F.col("o")).over(so_far(w)))
     both = both.withColumn("odd", F.col("q") / F.when(F.max("q").over(so_far(w)) != 0, F.max("q").over(so_far(w))) - 1)
-    b = both.groupBy(key).agg(F.count(F.lit(1)).alias("nb"), F.covar_samp("ret", "o").alias("cov"), F.var_samp("o").alias("vo"), F.corr("ret", "odd").alias("cd"))
+    b = both.groupBy(key).agg(F.count(F.lit(1)).alias("nb"), F.covar_samp("ret", "o").alias("cov"), F.var_samp("o").alias("vo"), corr("ret", "odd").alias("cd"))
     calendar = panel.select("date").distinct()
     dates = calendar.agg(F.collect_list("date").alias("_d"))  # one row, a date per day on record
     dense = with_single(keys, dates).select(key, F.explode("_d").alias("date")).join(own.select(key, "date", "ret"), [key, "date"], "left")

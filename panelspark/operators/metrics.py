@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from .panel import by, so_far
 
 YEAR = 252.0
@@ -99,7 +100,7 @@ def against(panel: DataFrame, bench: DataFrame, key: str = "algo_id") -> DataFra
     j = panel.join(bench, "date").withColumn("x", F.col("ret") - F.col("b"))
     grow = lambda c: F.product(1 + F.col(c))
     annual = lambda c: F.when(grow(c) > 0, F.pow(F.when(grow(c) > 0, grow(c)), YEAR / F.count(F.lit(1))) - 1).otherwise(-1.0)
-    g = j.groupBy(key).agg(F.covar_samp("ret", "b").alias("_c"), F.var_samp("b").alias("_v"), F.corr("ret", "b").alias("corr"), (F.stddev_samp("x") * F.sqrt(F.lit(YEAR))).alias("tracking_error"), annual("ret").alias("_r"), annual("b").alias("_b"), annual("x").alias("excess"), F.count(F.lit(1)).alias("n"))
+    g = j.groupBy(key).agg(F.covar_samp("ret", "b").alias("_c"), F.var_samp("b").alias("_v"), corr("ret", "b").alias("corr"), (F.stddev_samp("x") * F.sqrt(F.lit(YEAR))).alias("tracking_error"), annual("ret").alias("_r"), annual("b").alias("_b"), annual("x").alias("excess"), F.count(F.lit(1)).alias("n"))
     g = g.withColumn("beta", div(F.col("_c"), F.col("_v"), 1e-15))
     g = g.withColumn("alpha", F.col("_r") - F.col("beta") * F.col("_b")).withColumn("information_ratio", div(F.col("excess"), F.col("tracking_error")))
     return g.drop("_c", "_v", "_r", "_b")

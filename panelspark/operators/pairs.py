@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from ..sources.tables import with_single
 
 
@@ -96,7 +97,7 @@ def rolling_correlation(panel: DataFrame, a: str, b: str, n: int) -> DataFrame:
     """(date, corr) of two entities over their last n common days."""
     x = panel.filter(F.col("algo_id") == a).select("date", F.col("ret").alias("x")).join(panel.filter(F.col("algo_id") == b).select("date", F.col("ret").alias("y")), "date")
     w = Window.orderBy("date")
-    x = x.withColumn("rn", F.row_number().over(w)).withColumn("corr", F.corr("x", "y").over(w.rowsBetween(-(n - 1), 0)))
+    x = x.withColumn("rn", F.row_number().over(w)).withColumn("corr", corr("x", "y", w.rowsBetween(-(n - 1), 0)))
     return x.filter(F.col("rn") >= n).select("date", "corr")
 
 
@@ -227,7 +228,7 @@ def signals(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     j = j.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
     v = F.var_pop("y")
     same = F.when((F.col("x") != 0) & (F.col("y") != 0), (F.signum("x") == F.signum("y")).cast("int"))
-    return j.groupBy("a", "b").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), (F.covar_samp("x", "y") / F.when(v > 0, v)).alias("beta"), F.avg(same).alias("agreement"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy("a", "b").agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"), (F.covar_samp("x", "y") / F.when(v > 0, v)).alias("beta"), F.avg(same).alias("agreement"), F.count(F.lit(1)).alias("n"))
 
 
 def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:

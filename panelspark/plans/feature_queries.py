@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from ..operators import features as fx
 from ..operators import panel as px
 from ..sources.tables import table
@@ -275,7 +276,7 @@ def rolling_vs_market(spark: SparkSession, d: str) -> DataFrame:
     j = panel(spark, d).join(market(spark, d).select("date", F.col("ret").alias("b")), "date")
     w = px.by("algo_id")
     r = px.last_rows(w, 30)
-    out = j.withColumn("rn", F.row_number().over(w)).withColumn("roll_corr", F.corr("ret", "b").over(r))
+    out = j.withColumn("rn", F.row_number().over(w)).withColumn("roll_corr", corr("ret", "b", r))
     out = out.withColumn("roll_te", F.stddev_samp(F.col("ret") - F.col("b")).over(r) * F.sqrt(F.lit(252.0)))
     out = out.withColumn("roll_beta", safe_div(F.covar_samp("ret", "b").over(r), F.var_samp("b").over(r)))
     return out.filter("rn >= 30").select("algo_id", "date", "roll_corr", "roll_te", "roll_beta")
@@ -325,4 +326,4 @@ def leadership_rotation(spark: SparkSession, d: str) -> DataFrame:
     b = a.withColumn("prev", F.lag("cur", 21).over(w)).filter("rn >= 42")
     rank = lambda c: F.rank().over(Window.partitionBy("date").orderBy(F.round(c, 12).desc()))
     r = b.withColumn("rc", rank("cur")).withColumn("rp", rank("prev"))
-    return r.groupBy("date").agg((1 - F.corr("rc", "rp")).alias("rotation"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return r.groupBy("date").agg((1 - corr("rc", "rp")).alias("rotation"), F.count(F.lit(1)).alias("n")).filter("n >= 5")

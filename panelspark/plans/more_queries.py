@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from ..operators import allocate as al
 from ..operators import backtest as bt
 from ..operators import panel as px
@@ -98,7 +99,7 @@ def compare_series(spark: SparkSession, d: str) -> DataFrame:
     p = nation_panel(spark, d).select("date", "algo_id", "ret")
     b = bt.run(al.equal(selected(spark, d)).select("date", "algo_id", "w"), p).select("date", F.col("ret").alias("a"))
     j = b.join(p.groupBy("date").agg(F.avg("ret").alias("b")), "date").withColumn("x", F.col("a") - F.col("b"))
-    return j.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("corr"), F.stddev_samp("x").alias("te"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rmse"), F.max(F.abs("x")).alias("max_dev"))
+    return j.agg(F.count(F.lit(1)).alias("n"), corr("a", "b").alias("corr"), F.stddev_samp("x").alias("te"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rmse"), F.max(F.abs("x")).alias("max_dev"))
 
 
 @query(f"""
