@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension is broadcast; checked by counting at most this many, never assumed.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a dimension is broadcast; checked by adding up at most this many rows, never assumed.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,19 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows and about `size` bytes; reads no more than rows + 1 of them."""
+
+    def width(c: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if kind.startswith(("array", "map", "struct")) else F.lit(8)
+
+    total = reduce(lambda a, b: a + b, (width(c, kind).cast("long") for c, kind in df.dtypes))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
 def with_single(df: DataFrame, one: DataFrame) -> DataFrame:
     """df with the columns of a DataFrame of exactly one row, by a scalar subquery."""
     row = one.select(F.struct(*one.columns).alias("_one")).scalar()
@@ -38,10 +53,11 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def join_dimension(big: DataFrame, dim: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """big joined with a table that has one row per key.
 
-    A dimension of at most `rows` rows (counted) is broadcast. A larger one is joined by shuffle with `salts`
-    copies of each of its rows, so that no key of `big` meets in one task. Null keys of `big` match nothing.
+    A dimension of at most `rows` rows and BROADCAST_BYTES bytes (added up) is broadcast. A larger one is joined by
+    shuffle with `salts` copies of each of its rows, so that no key of `big` meets in one task. Null keys of `big`
+    match nothing.
     """
-    if within(dim, rows):
+    if small(dim, rows):
         return big.join(F.broadcast(dim), on, how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     tossed = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))

@@ -55,7 +55,7 @@ def test_values_repeats_and_empty(spark):
 def test_many_files_join_by_shuffle(spark, n, monkeypatch):
     from panelspark.sources import tables
 
-    monkeypatch.setattr(tables, "within", lambda df, rows: False)
+    monkeypatch.setattr(tables, "small", lambda df, rows: False)
     assert reasons(spark, ["2022-01-18,1,1,1,1", "x"] * n) == [None, "columns"] * n
 
 
