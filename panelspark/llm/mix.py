@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import one_per_key
+from ..session import cut_lineage
+from ..sources.tables import join_dimension, one_per_key, with_single
 from .encode import count_tokens, one_per_document
 from .vocabulary import FOLDER, VOCABULARY
 
 #: Bins of the hash over which the tokens of a source are summed up for the calibration.
 BINS = 8192
-#: Sources up to which the plan is made on the driver; more raise an error.
-MOST_SOURCES = 1000
 
 
 def label(source: Column) -> Column:
@@ -24,26 +23,13 @@ def label(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"^\s+|\s+$", ""))
 
 
-def poisson_cdf(k: int, rate: float) -> float:
-    """P(X <= k) of a Poisson distribution."""
-    term = total = math.exp(-rate)
-    for i in range(1, k + 1):
-        term *= rate / i
-        total += term
-    return min(total, 1.0)
-
-
-@dataclass(frozen=True)
-class SourcePlan:
-    """How often documents of a source come: as often as the document's uniform hash reaches one of the thresholds."""
-
-    source: str
-    target_share: float
-    max_repeat: int
-    target_tokens: float
-    source_tokens: int
-    rate: float
-    thresholds: tuple[float, ...]
+def poisson_cdf(below: int, rate: float) -> np.ndarray:
+    """P(X <= k) of a Poisson distribution for every k below `below`; by logarithms, so that no rate is too large."""
+    if rate <= 0:
+        return np.ones(below)
+    k = np.arange(below)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(k[1:], 1)))])
+    return np.minimum(np.cumsum(np.exp(k * math.log(rate) - rate - log_factorial)), 1.0)
 
 
 def solve(by_bin: np.ndarray, target: float, most: int) -> tuple[float, tuple[float, ...]]:
@@ -62,15 +48,15 @@ def solve(by_bin: np.ndarray, target: float, most: int) -> tuple[float, tuple[fl
     edges = np.linspace(0, 1, len(above))
 
     def given(rate: float) -> float:
-        return float(sum(np.interp(poisson_cdf(k, rate), edges, above) for k in range(most)))
+        return float(np.interp(poisson_cdf(most, rate), edges, above).sum())
 
     lo, hi = 0.0, 1.0
-    while given(hi) < target and hi < 700:
+    while given(hi) < target:
         hi *= 2
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if given(mid) < target else (lo, mid)
-    return hi, tuple(poisson_cdf(k, hi) for k in range(most))
+    return hi, tuple(poisson_cdf(most, hi).tolist())
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -78,31 +64,26 @@ def uniform(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) / float(1 << 52)
 
 
-def plan(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 8, name: str = VOCABULARY, folder: str = FOLDER, sizes: DataFrame | None = None) -> list[SourcePlan]:
-    """The rate of each target source such that it gets its share of the token count of all documents.
+def plan(targets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeat, rate, thresholds): one row a target source, such that it gets its share of all tokens.
 
-    Reads every text once (or `sizes`: source, u, n_tokens) and brings the sums by source and hash bin to the driver,
-    at most BINS numbers a target source.
+    sizes: source, u, n_tokens of every document. The rate of a source is solved in a task of its own, from at most
+    BINS sums; a document comes as often as its uniform hash u reaches one of the thresholds. Computed once, into the
+    shared folder.
     """
-    t = one_per_key(targets.select(label(F.col("source")).alias("source"), "target_share", "max_repeat").filter("source IS NOT NULL"), ["source"]).limit(MOST_SOURCES + 1).collect()
-    if len(t) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} target sources")
-    if sizes is None:
-        sizes = document_sizes(docs, key, source, text, seed, name, folder)
-    wanted = F.col("source").isin([r["source"] for r in t])
-    binned = sizes.select(F.when(wanted, F.col("source")).alias("source"), F.when(wanted, F.floor(F.col("u") * BINS).cast("int")).alias("bin"), "n_tokens")
-    sums = binned.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n")).collect()
-    total = sum(r["n"] for r in sums)
-    bins = {r["source"]: np.zeros(BINS) for r in t}
-    for r in sums:
-        if r["source"] is not None:
-            bins[r["source"]][r["bin"]] += r["n"]
-    out = []
-    for r in t:
-        share, most = r["target_share"] or 0.0, r["max_repeat"] or 0
-        rate, thresholds = solve(bins[r["source"]], share * total, most)
-        out.append(SourcePlan(r["source"], share, most, share * total, int(bins[r["source"]].sum()), rate, thresholds))
-    return sorted(out, key=lambda p: p.source)
+    t = one_per_key(targets.select(label(F.col("source")).alias("source"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("target_share"), F.coalesce(F.col("max_repeat").cast("int"), F.lit(0)).alias("max_repeat")).filter("source IS NOT NULL"), ["source"])
+    sums = cut_lineage(sizes.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("n")))
+    wanted = with_single(t.join(sums, "source", "left"), sums.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total")))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins = np.zeros(BINS)
+        known = pdf[pdf["bin"].notna()]
+        np.add.at(bins, known["bin"].astype(int).to_numpy(), known["n"].to_numpy(float))
+        row = pdf.iloc[0]
+        rate, thresholds = solve(bins, float(row["target_share"]) * float(row["total"]), int(row["max_repeat"]))
+        return pd.DataFrame([{"source": row["source"], "target_share": row["target_share"], "max_repeat": row["max_repeat"], "rate": rate, "thresholds": list(thresholds)}])
+
+    return cut_lineage(wanted.groupBy("source").applyInPandas(fit, "source string, target_share double, max_repeat int, rate double, thresholds array<double>"))
 
 
 def document_sizes(docs: DataFrame, key: str, source: str, text: str, seed: int, name: str, folder: str) -> DataFrame:
@@ -111,13 +92,9 @@ def document_sizes(docs: DataFrame, key: str, source: str, text: str, seed: int,
     return count_tokens(base, ["key", "source", "u"], "text", name, folder)
 
 
-def repeats(source: Column, u: Column, plans: list[SourcePlan]) -> Column:
-    """How often a document comes; 0 for sources without a target."""
-    out = F.lit(0)
-    for p in plans:
-        times = sum((F.when(u >= x, 1).otherwise(0) for x in p.thresholds), F.lit(0))
-        out = F.when(source == p.source, times).otherwise(out)
-    return out
+def times(docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """docs (source, u, ...) of the target sources with _times, how often each comes, where it does."""
+    return join_dimension(docs, plans.select("source", "thresholds"), "source").withColumn("_times", F.size(F.filter("thresholds", lambda x: x <= F.col("u")))).drop("thresholds").filter("_times > 0")
 
 
 def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 8, name: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
@@ -129,11 +106,11 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     left out and repeated keys count once. No targets or no documents give an empty result.
     """
     docs = one_per_document(docs, key)
-    plans = plan(docs, targets, key, source, text, seed, name, folder)
-    labelled = docs.withColumn(source, label(F.col(source)))
-    times = labelled.withColumn("_times", repeats(F.col(source), uniform(F.col(key), seed), plans)).filter("_times > 0")
-    copies = times.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
-    placed = copies.withColumn("order_key", F.xxhash64(F.lit(seed + 1), F.col(key), F.col("copy_no")))
+    plans = plan(targets, document_sizes(docs, key, source, text, seed, name, folder))
+    own = docs.select(F.struct(*docs.columns).alias("_doc"), label(F.col(source)).alias("source"), uniform(F.col(key), seed).alias("u"))
+    copies = times(own, plans).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    columns = [F.col("source").alias(c) if c == source else F.col("_doc")[c].alias(c) for c in docs.columns]
+    placed = copies.select(*columns, "copy_no").withColumn("order_key", F.xxhash64(F.lit(seed + 1), F.col(key), F.col("copy_no")))
     return placed.repartition("order_key").sortWithinPartitions("order_key")
 
 
@@ -142,18 +119,11 @@ def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str
 
     reached_share: the source's tokens over the token count of all documents.
     """
-    from ..session import cut_lineage
-
-    spark = docs.sparkSession
     sizes = cut_lineage(document_sizes(one_per_document(docs, key), key, source, text, seed, name, folder))
-    plans = plan(docs, targets, sizes=sizes)
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    n = repeats(F.col("source"), F.col("u"), plans)
-    used = sizes.withColumn("times", n).filter("times > 0").groupBy("source").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("times").alias("copies"), F.max("times").alias("most_copies"), F.sum(F.col("times") * F.col("n_tokens")).alias("tokens")
+    plans = plan(targets, sizes)
+    used = times(sizes, plans).groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("_times").alias("copies"), F.max("_times").alias("most_copies"), F.sum(F.col("_times") * F.col("n_tokens")).alias("tokens")
     )
-    rows = [(p.source, float(p.target_share), int(p.max_repeat), float(p.rate)) for p in plans]
-    wanted = spark.createDataFrame(rows, "source string, target_share double, max_repeat int, rate double")
-    out = wanted.join(used, "source", "left")
+    out = with_single(plans.join(used, "source", "left"), sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_total")))
     zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("documents", "copies", "most_copies", "tokens")]
-    return out.select("source", "target_share", "max_repeat", "rate", *zero, (F.coalesce(F.col("tokens"), F.lit(0)) / F.lit(max(total, 1))).alias("reached_share"))
+    return out.select("source", "target_share", "max_repeat", "rate", *zero, (F.coalesce(F.col("tokens"), F.lit(0)) / F.greatest("_total", F.lit(1))).alias("reached_share"))

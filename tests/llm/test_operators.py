@@ -138,3 +138,23 @@ def test_boundaries_by_segments():
     for lo in range(0, 1900, 7):
         hi = lo + int(rng.integers(0, 90))
         assert b.best(lo, hi) == max(range(lo, hi + 1), key=lambda i: (s[i], i))
+
+
+def test_rates_beyond_what_an_exponential_holds():
+    rate, thresholds = mix.solve(np.ones(mix.BINS), 1500.0 * mix.BINS, 3000)
+    assert rate == pytest.approx(1500, rel=1e-3) and len(thresholds) == 3000
+    u = (np.arange(mix.BINS) + 0.5) / mix.BINS
+    assert np.searchsorted(thresholds, u, side="right").mean() == pytest.approx(1500, rel=1e-3)
+
+
+def test_many_sources_and_clashing_names(spark):
+    """Two thousand sources, none collected; columns named like the operator's own."""
+    v = vocabulary()
+    rows = [(i, f"s{i % 2000}", prose(5 + i % 7, i)) for i in range(6000)]
+    df = docs(spark, rows).withColumn("_times", F.lit(1)).withColumn("thresholds", F.lit("x")).withColumn("_doc", F.lit("y"))
+    targets = spark.createDataFrame([(f"S{i}", 1 / 2000, 3) for i in range(2000)], "source string, target_share double, max_repeat int")
+    got = mix.mix(df, targets).select("doc_id", "copy_no", "_times", "u").collect()
+    assert {r["_times"] for r in got} == {1} and {r["u"] for r in got} == {0.5}
+    total = sum(len(v.encode(t)) for *_, t in rows)
+    used = sum(len(v.encode(rows[r["doc_id"]][2])) for r in got)
+    assert len({rows[r["doc_id"]][1] for r in got}) > 1900 and used / total == pytest.approx(1, abs=0.35)
