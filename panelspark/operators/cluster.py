@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import with_single
@@ -127,36 +127,91 @@ def density(df: DataFrame, key: str, features: list[str], eps: float, least: int
     return out.select(F.col("k").alias(key), F.coalesce(F.coalesce("l1", "l").cast("string"), F.lit("-1")).alias("label"))
 
 
-def agglomerate(df: DataFrame, key: str, features: list[str], k: int, top: int = 2000) -> DataFrame:
-    """(key, label) of Ward's method among at most `top` rows, merged by the Lance-Williams update; more rows raise an error."""
-    from ..sources.tables import within
+def ward_merges(x: np.ndarray) -> np.ndarray:
+    """(i, j, height) of the n - 1 merges of Ward's method in order of height; i and j are rows that stand for their clusters.
 
-    if not within(df, top):
-        raise ValueError(f"more than {top} rows to agglomerate")
+    By chains of nearest neighbours on the centroids: as much memory as the rows themselves, no matrix of distances.
+    """
+    n = len(x)
+    centre, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    out, chain = [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        a = chain[-1]
+        d = ((centre - centre[a]) ** 2).sum(1) * (size * size[a] / (size + size[a]))
+        d[~alive] = np.inf
+        d[a] = np.inf
+        b = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            b = chain[-2]
+            i, j = min(a, b), max(a, b)
+            out.append((i, j, 2 * d[b]))
+            centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            alive[j] = False
+            del chain[-2:]
+        else:
+            chain.append(b)
+    return np.array(sorted(out, key=lambda m: m[2])).reshape(-1, 3)
+
+
+def average_merges(d: np.ndarray) -> np.ndarray:
+    """(i, j, height) of the merges by average linkage of a matrix of distances, in order of height."""
+    d, n = d.astype(float).copy(), len(d)
+    np.fill_diagonal(d, np.inf)
+    size, out = np.ones(n), []
+    for _ in range(n - 1):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        out.append((i, j, d[i, j]))
+        new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        new[[i, j]] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
+        size[i] += size[j]
+    return np.array(out).reshape(-1, 3)
+
+
+def cut(n: int, merges: np.ndarray, k: int) -> np.ndarray:
+    """Labels from 0, by first row, of the k clusters that the lowest merges leave."""
+    member = np.arange(n)
+
+    def root(i: int) -> int:
+        while member[i] != i:
+            member[i] = member[member[i]]
+            i = member[i]
+        return i
+
+    for i, j, _ in merges[: max(0, n - k)]:
+        a, b = root(int(i)), root(int(j))
+        member[max(a, b)] = min(a, b)
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1].astype("int32")
+
+
+def agglomerate(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
+    """(key, label) of Ward's method: one task that holds the rows' features (time grows with the square of the rows)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x = pdf[features].to_numpy(float)
-        n = len(x)
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        size, member = np.ones(n), np.arange(n)
-        for _ in range(max(0, n - k)):
-            i, j = divmod(int(np.argmin(d)), n)
-            i, j = min(i, j), max(i, j)
-            ni, nj, dij = size[i], size[j], d[i, j]
-            new = ((ni + size) * d[i] + (nj + size) * d[j] - size * dij) / (ni + nj + size)
-            new[~np.isfinite(d[i])] = np.inf
-            d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-            d[i, i] = np.inf
-            size[i] += nj
-            member[member == j] = i
-        return pd.DataFrame({key: pdf[key].to_numpy(), "label": np.unique(member, return_inverse=True)[1].astype("int32")})
+        return pd.DataFrame({key: pdf[key].to_numpy(), "label": cut(len(x), ward_merges(x), k)})
 
     kind = dict(df.dtypes)[key]
     return df.select(key, *features).withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda p: fit(p), f"{key} {kind}, label int")
 
 
+def correlation_clusters(pairs: DataFrame, k: int) -> DataFrame:
+    """(entity, label) by average linkage on 1 - |corr| of (a, b, corr); pairs without a correlation are 1 apart. One task with the matrix of the pairs."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
+        i, j = np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"])
+        d = np.ones((len(names), len(names)))
+        d[i, j] = d[j, i] = 1 - np.abs(np.nan_to_num(pdf["corr"].to_numpy(float)))
+        return pd.DataFrame({"entity": names, "label": cut(len(names), average_merges(d), k)})
+
+    return pairs.select("a", "b", "corr").withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(lambda p: fit(p), "entity string, label int")
+
+
 def _forward_backward(x: np.ndarray, mu: np.ndarray, var: np.ndarray, trans: np.ndarray, start: np.ndarray):
     like = -0.5 * (((x[:, None, :] - mu) ** 2 / var).sum(2) + np.log(2 * np.pi * var).sum(1))
     top = like.max(1, keepdims=True)
@@ -251,15 +306,20 @@ def weekly_clusters(periods: DataFrame, features: list[str], k: int = 3, least:
     return periods.select("week_end", "algo_id", *features).groupBy("week_end").applyInPandas(fit, "week_end date, algo_id string, label string")
 
 
-def unique_assignment(scores: DataFrame, state: str, name: str, score: str, most: int = 64) -> DataFrame:
-    """(state, name): greatest scores first, each state and each name at most once; among at most `most` rows."""
-    rows = scores.orderBy(F.col(score).desc(), state, name).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} scores to assign")
-    taken, used = {}, set()
-    for r in rows:
-        if r[state] not in taken and r[name] not in used:
-            taken[r[state]] = r[name]
-            used.add(r[name])
-    kind = {c: t for c, t in scores.dtypes}
-    return scores.sparkSession.createDataFrame(list(taken.items()), f"{state} {kind[state]}, {name} {kind[name]}")
+def unique_assignment(scores: DataFrame, state: str, name: str, score: str) -> DataFrame:
+    """(state, name): greatest scores first, each state and each name at most once, ties by state and name.
+
+    Rounds: every score that is the best left of both its state and its name is taken, and both are done with; that
+    gives what taking them one by one gives, in far fewer steps. Rows with a null count for nothing.
+    """
+    from ..session import cut_lineage
+
+    left = cut_lineage(scores.select(state, name, F.col(score).alias("_s")).dropna())
+    taken = left.limit(0)
+    order = [F.col("_s").desc(), F.col(state), F.col(name)]
+    while left.limit(1).count():
+        first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(*order)) == 1
+        new = cut_lineage(left.withColumn("_a", first(state)).withColumn("_b", first(name)).filter("_a AND _b").select(state, name, "_s"))
+        taken = taken.unionByName(new)
+        left = cut_lineage(left.join(new.select(state), state, "left_anti").join(new.select(name), name, "left_anti").select(state, name, "_s"))
+    return taken.select(state, name)

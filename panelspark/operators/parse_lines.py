@@ -58,7 +58,7 @@ def _finite(v: Column) -> Column:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """(file_name, sep, n_cols, at_datetime, at_close) of each file: from its line 1, positions from 1, 0 where there is none."""
+    """(file_name, sep, names, n_cols, at_datetime, at_close) of each file: from its line 1, positions from 1, 0 where there is none."""
     h = lines.filter("line_no = 1 AND line IS NOT NULL AND file_name IS NOT NULL").groupBy("file_name").agg(F.min("line").alias("line"))
     h = h.withColumn("line", F.regexp_replace("line", r"^\x{FEFF}|\r\z", ""))
     count = lambda ch: F.length("line") - F.length(F.replace("line", F.lit(ch), F.lit("")))
@@ -66,7 +66,7 @@ def headers(lines: DataFrame) -> DataFrame:
     names = F.transform(_fields(F.col("line"), F.col("sep")), lambda f: F.lower(_value(f)))
     h = h.withColumn("names", names)
     at = lambda *which: F.array_position(F.transform("names", lambda n: n.isin(*which)), True).cast("int")
-    return h.select("file_name", "sep", F.size("names").alias("n_cols"), at("date", "datetime").alias("at_datetime"), at("close").alias("at_close"))
+    return h.select("file_name", "sep", "names", F.size("names").alias("n_cols"), at("date", "datetime").alias("at_datetime"), at("close").alias("at_close"))
 
 
 def _judged(lines: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def _judged(lines: DataFrame, layouts: DataFrame) -> DataFrame:
         .when(~_finite(F.col("v.close")), "close")
     )
     judged = computed_once(joined, "reason", reason)
-    return judged.select("line_id", "file_name", "line_no", "line", "reason", "v.datetime", "v.close")
+    return judged.select("line_id", "file_name", "line_no", "line", "reason", "v.datetime", "v.close", "f", "names")
 
 
 def _columns(lines: DataFrame) -> DataFrame:
@@ -97,16 +97,19 @@ def _layouts(lines: DataFrame) -> DataFrame:
     return cut_lineage(headers(lines))  # one row a file, read out of the lines once
 
 
-def load_rows(lines: DataFrame) -> DataFrame:
-    """(line_id, file_name, line_no, datetime, close): the lines that conform in all respects, one row per line.
+def load_rows(lines: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(line_id, file_name, line_no, datetime, close, more...): the lines that conform in all respects, one row per line.
 
-    Rows that repeat in all of these count once. Null offsets are offsets like any other.
+    more: further columns by their names in the header, as doubles; null where a file has none or the value is no
+    number. Rows that repeat in all of these count once. Null offsets are offsets like any other.
     """
     lines = _columns(lines)
     ok = _judged(lines, _layouts(lines)).filter("reason IS NULL")
     stamp = F.to_timestamp(F.concat(F.substring("datetime", 1, 10), F.lit(" "), F.rpad(F.substring("datetime", 12, 8), 8, ":00")))
     whole = F.when(F.length("datetime") == 10, F.to_timestamp(F.col("datetime"))).otherwise(stamp)
-    return ok.select("line_id", "file_name", "line_no", whole.alias("datetime"), F.col("close").cast("double").alias("close")).distinct()
+    field = lambda c: _value(F.try_element_at("f", F.nullif(F.array_position("names", c).cast("int"), F.lit(0))))
+    others = [F.when(_finite(field(c)), field(c).try_cast("double")).alias(c) for c in more]
+    return ok.select("line_id", "file_name", "line_no", whole.alias("datetime"), F.col("close").cast("double").alias("close"), *others).distinct()
 
 
 def failing_lines(lines: DataFrame) -> DataFrame:

@@ -17,14 +17,15 @@ def asof_join(
 
     strict leaves out rows at the same time. fallback="first": where nothing is at or before, the first right row of
     the key (which lies in the future); "both": those in columns of their own, `<value>_or_first`. Both sides meet in
-    one sort per (key, block of block_days days), in the direction in which values are carried; into each block one
+    one sort per (key, block of block_days days, or of as many units of numeric times), in the direction in which values are carried; into each block one
     row carries the value that the blocks before it leave, so no key meets in one task. Of right rows with equal time
     the one with the greatest values counts. Null keys or times match nothing; empty sides are no case of their own.
     """
     back = direction == "backward"
     row = F.struct(*(F.col(v).alias(v) for v in values))
     whole = lambda *cs: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cs))
-    block = lambda t: F.floor(F.unix_date(F.col(t).cast("date")) / F.lit(block_days))
+    timed = dict(left.dtypes)[left_ts] in ("date", "timestamp", "timestamp_ntz")
+    block = lambda t: F.floor((F.unix_date(F.col(t).cast("date")) if timed else F.col(t)) / F.lit(block_days))
     r = right.filter(whole(*keys, right_ts)).groupBy(*keys, F.col(right_ts).alias("_t")).agg(F.max(row).alias("_v"))
     r = r.withColumn("_block", block("_t"))
     names = left.columns

@@ -14,14 +14,46 @@ MONTH_CODES = "FGHJKMNQUVXZ"
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_id, file_name, line_no, line) of every line of the text files under a path or glob.
+    """(line_id, file_name, line_no, line) of every line of the text files under a path or glob; lines end in a newline, a carriage return stays.
 
-    Files are read as wholes of lines, so line_no holds for files up to a task's memory; line_id is unique in a run.
+    Large files are read in splits: lines are numbered within each split, and the splits' line counts are added up per
+    file. line_id depends on path and number only.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("file_name", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    lines = files.select("file_name", F.posexplode(F.split("value", "\n", -1)).alias("i", "line"), F.size(F.split("value", "\n", -1)).alias("_n"))
-    lines = lines.filter((F.col("i") < F.col("_n") - 1) | (F.col("line") != ""))  # nothing follows the last line's end
-    return lines.select(F.xxhash64("file_name", "i").alias("line_id"), "file_name", (F.col("i") + 1).alias("line_no"), "line")
+    at = "_metadata.file_path", "_metadata.file_name", "_metadata.file_block_start"
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), *(F.col(c).alias(n) for c, n in zip(at, ("path", "file_name", "start"))), F.monotonically_increasing_id().alias("_m"))
+    counts = raw.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    before = counts.select("path", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = raw.withColumn("_r", F.row_number().over(Window.partitionBy("path", "start").orderBy("_m"))).join(before, ["path", "start"])
+    lines = placed.withColumn("line_no", (F.col("before") + F.col("_r")).cast("int"))
+    return lines.select(F.xxhash64("path", "line_no").alias("line_id"), "file_name", "line_no", "line")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(algo_id, file_name, bytes): the files under a path or glob, the id being the name without its ending; no file is read."""
+    f = spark.read.format("binaryFile").load(path).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    return f.select(F.regexp_replace(name, r"\.[^.]*\z", "").alias("algo_id"), name.alias("file_name"), F.col("length").alias("bytes"))
+
+
+def daily_price_files(spark: SparkSession, path: str, least_bytes: int = 50, least_lines: int = 2, least_rows: int = 10, least_days: int = 10) -> DataFrame:
+    """(algo_id, date, open, high, low, close, n): daily bars of the price files under a path.
+
+    Left out are files below least_bytes, least_lines lines after the header, least_rows rows that can be read, or
+    least_days days. A row needs a datetime and a close; where a file has no open, high or low, or they cannot be read,
+    close stands for them.
+    """
+    lines = text_lines(spark, path)
+    floor = list_files(spark, path).filter(F.col("bytes") >= least_bytes).select("file_name").distinct()
+    filled = lines.filter("line_no > 1 AND trim(line) <> ''").groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_lines).select("file_name")
+    kept = lines.join(floor, "file_name", "left_semi").join(filled, "file_name", "left_semi")
+    rows = load_rows(kept, ("open", "high", "low"))
+    enough = rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.to_date("datetime")).alias("days")).filter((F.col("n") >= least_rows) & (F.col("days") >= least_days)).select("file_name")
+    at = F.struct("datetime", "line_no")
+    price = lambda c: F.coalesce(c, "close")
+    return rows.join(enough, "file_name", "left_semi").groupBy(F.regexp_replace("file_name", r"\.[^.]*\z", "").alias("algo_id"), F.to_date("datetime").alias("date")).agg(
+        F.min_by(price("open"), at).alias("open"), F.max(price("high")).alias("high"), F.min(price("low")).alias("low"), F.max_by("close", at).alias("close"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def price_files(spark: SparkSession, path: str, least_rows: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -90,12 +122,23 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def append_trials(df: DataFrame, path: str) -> None:
-    """Appends trial rows; readers see every append as one commit of files."""
-    df.write.mode("append").parquet(path)
+    """Appends trial rows with the time of the append (_appended); readers see every append as one commit of files."""
+    df.withColumn("_appended", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def best_trials(spark: SparkSession, path: str, metric: str, n: int, key: str = "trial_id") -> DataFrame:
-    """The n trials with the greatest metric; of a trial's rows the last appended counts by the greatest values."""
-    w = Window.partitionBy(key).orderBy(F.col(metric).desc_nulls_last())
-    t = spark.read.parquet(path).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The n trials with the greatest metric, ties by key; of a trial's rows the last appended counts, of one append's the greatest metric."""
+    w = Window.partitionBy(key).orderBy(F.col("_appended").desc_nulls_last(), F.col(metric).desc_nulls_last())
+    t = spark.read.parquet(path).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_appended")
     return t.orderBy(F.col(metric).desc_nulls_last(), key).limit(n)
+
+
+def write_text(df: DataFrame, path: str, kind: str, mode: str = "overwrite") -> None:
+    """CSV with a header, or one JSON object a line; nested columns become JSON text in CSV."""
+    if kind == "csv":
+        nested = {c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))}
+        df.withColumns(nested).write.mode(mode).option("header", True).csv(path)
+    elif kind == "json":
+        df.write.mode(mode).json(path)
+    else:
+        raise ValueError(f"no such kind of text: {kind}")

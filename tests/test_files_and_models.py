@@ -130,3 +130,81 @@ def test_streams(spark, tmp_path):
     q.stop()
     last = spark.sql("SELECT * FROM dd_out ORDER BY n DESC").first()
     assert last["n"] == 9 and last["equity"] == pytest.approx(1.1**9) and last["drawdown"] == 0
+
+
+def test_lines_of_a_file_read_in_splits(spark, tmp_path):
+    text = "".join(f"{i},{'x' * (i % 50)}\r\n" for i in range(3000)) + "last"
+    (tmp_path / "a.csv").write_text(text, newline="")
+    (tmp_path / "b.csv").write_text("one\n\ntwo\n", newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        raw = files.text_lines(spark, str(tmp_path))
+        rows = raw.collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {(r["file_name"], r["line_no"]): r["line"] for r in rows}
+    assert len(got) == len(rows) == len({r["line_id"] for r in rows})
+    assert [got[("a.csv", i + 1)] for i in range(3001)] == text.split("\n") and [got[("b.csv", i)] for i in (1, 2, 3)] == ["one", "", "two"]
+
+
+def test_daily_bars_of_files_and_their_floors(spark, tmp_path):
+    days = [f"2024-01-{d:02d}" for d in range(1, 13)]
+    (tmp_path / "good.csv").write_text("datetime,Open,high,LOW,close\n" + "".join(f"{d} 10:00,1,9,0.5,2\n{d} 09:00,4,5,3,4\n{d} 11:00,1,2,x,3\n" for d in days))
+    (tmp_path / "bare.csv").write_text("date;close\n" + "".join(f"{d};7\n" for d in days))
+    (tmp_path / "tiny.csv").write_text("date,close\n2024-01-01,1\n")
+    (tmp_path / "few.csv").write_text("date,close\n" + "".join(f"{d},1\n" for d in days[:9]))
+    (tmp_path / "oneday.csv").write_text("date,close\n" + "".join(f"2024-01-01 {h:02d}:00,1\n" for h in range(20)))
+    got = {(r["algo_id"], str(r["date"])): tuple(r[c] for c in ("open", "high", "low", "close", "n")) for r in files.daily_price_files(spark, str(tmp_path)).collect()}
+    assert {a for a, _ in got} == {"good", "bare"} and len(got) == 24
+    assert got[("good", days[0])] == (4.0, 9.0, 0.5, 3.0, 3) and got[("bare", days[3])] == (7.0, 7.0, 7.0, 7.0, 1)
+    assert {(r["algo_id"], r["bytes"] > 0) for r in files.list_files(spark, str(tmp_path)).collect()} == {(x, True) for x in ("good", "bare", "tiny", "few", "oneday")}
+
+
+def test_the_last_appended_trial_counts_and_text_sinks(spark, tmp_path):
+    one = spark.createDataFrame([(1, 9.0, [1]), (2, 1.0, [2])], "trial_id long, sharpe double, path array<int>")
+    files.append_trials(one, str(tmp_path / "t"))
+    files.append_trials(spark.createDataFrame([(1, 0.5, [3])], one.schema), str(tmp_path / "t"))
+    assert [(r["trial_id"], r["sharpe"]) for r in files.best_trials(spark, str(tmp_path / "t"), "sharpe", 5).collect()] == [(2, 1.0), (1, 0.5)]
+    files.write_text(one, str(tmp_path / "c"), "csv")
+    files.write_text(one, str(tmp_path / "j"), "json")
+    assert {(r["trial_id"], r["path"]) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {("1", "[1]"), ("2", "[2]")}
+    assert {(r["trial_id"], tuple(r["path"])) for r in spark.read.json(str(tmp_path / "j")).collect()} == {(1, (1,)), (2, (2,))}
+    with pytest.raises(ValueError):
+        files.write_text(one, str(tmp_path / "x"), "xml")
+
+
+def test_merges_against_their_definitions():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 25, 60):
+        x = rng.normal(0, 1, (n, 3))
+        groups = [[i] for i in range(n)]
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        while len(groups) > max(1, n // 5):
+            i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+            groups[i] += groups[j]
+            del groups[j]
+        label = cluster.cut(n, cluster.ward_merges(x), max(1, n // 5))
+        assert {frozenset(np.flatnonzero(label == c).tolist()) for c in set(label.tolist())} == {frozenset(g) for g in groups}
+    d = np.array([[0, 1, 5, 6], [1, 0, 5.5, 6.5], [5, 5.5, 0, 2], [6, 6.5, 2, 0]])
+    assert [tuple(m) for m in cluster.average_merges(d)] == [(0, 1, 1.0), (2, 3, 2.0), (0, 2, 5.75)]
+
+
+def test_assignment_is_that_of_taking_one_by_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(s), f"n{n}", float(rng.integers(0, 30))) for s in range(30) for n in range(25)] + [(None, "n0", 99.0), (1, None, 99.0), (1, "n1", None)]
+    taken, used = {}, set()
+    for s, n, _ in sorted((r for r in rows if None not in r), key=lambda r: (-r[2], r[0], r[1])):
+        if s not in taken and n not in used:
+            taken[s] = n
+            used.add(n)
+    df = spark.createDataFrame(rows, "state int, name string, score double")
+    got = cluster.unique_assignment(df, "state", "name", "score").collect()
+    assert {r["state"]: r["name"] for r in got} == taken and len(got) == len(taken) == 25
+    assert cluster.unique_assignment(df.limit(0), "state", "name", "score").count() == 0
+
+
+def test_clusters_by_correlation(spark):
+    df = spark.createDataFrame([("a", "b", 0.9), ("c", "d", -0.8), ("a", "c", 0.1), ("a", "d", 0.0), ("b", "c", None), ("b", "d", 0.2)], "a string, b string, corr double")
+    assert parts(cluster.correlation_clusters(df, 2).collect(), "entity") == {frozenset("ab"), frozenset("cd")}
