@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import corr
 from ..sources.tables import with_single
 from .panel import by, so_far
 
@@ -112,3 +113,25 @@ def recovery(series: DataFrame, value: str, near: float = -0.001) -> DataFrame:
     low = x.agg(F.min("dd").alias("max_drawdown"), F.min_by("date", F.struct("dd", "date")).alias("trough"))
     after = with_single(x, low).filter((F.col("date") > F.col("trough")) & (F.col("dd") > near)).agg(F.min("date").alias("recovered"))
     return with_single(low, after).select("trough", "max_drawdown", "recovered", F.datediff("recovered", "trough").alias("days"))
+
+
+def reconstruction_statistics(series: DataFrame, year: float = 252.0) -> DataFrame:
+    """One row on a reconstruction r held against the actual a (date, a, r: levels): both start at 100, compared by level and by log return.
+
+    R squared is 1 minus the squared differences of log returns over those from the actual's mean; the monthly
+    correlation is that of month-end levels, 0 up to three months. Rows in which either is missing do not count.
+    """
+    w = Window.orderBy("date")  # one series, a row a day
+    x = series.filter("a IS NOT NULL AND r IS NOT NULL")
+    x = with_single(x, x.agg(F.min_by("a", "date").alias("_a0"), F.min_by("r", "date").alias("_r0")))
+    x = x.select("date", (F.col("a") / F.col("_a0") * 100).alias("a"), (F.col("r") / F.col("_r0") * 100).alias("r"))
+    l = x.withColumn("la", F.ln(F.col("a") / F.lag("a").over(w))).withColumn("lr", F.ln(F.col("r") / F.lag("r").over(w)))  # noqa: E741
+    l = with_single(l, l.agg(F.avg("la").alias("_m"))).withColumn("d", F.col("la") - F.col("lr"))  # noqa: E741
+    total = F.sum((F.col("la") - F.col("_m")) * (F.col("la") - F.col("_m")))
+    last = lambda c: F.max_by(c, "date")
+    out = l.agg(
+        F.count(F.lit(1)).alias("n_days"), corr("la", "lr").alias("correlation_daily"), F.when(total > 0, 1 - F.sum(F.col("d") * F.col("d")) / F.when(total > 0, total)).otherwise(0.0).alias("r_squared"), (F.stddev_samp("d") * F.sqrt(F.lit(year))).alias("tracking_error_annual"),
+        F.sqrt(F.avg((F.col("r") - F.col("a")) * (F.col("r") - F.col("a")))).alias("rmse_index"), F.max(F.abs(F.col("r") - F.col("a"))).alias("max_deviation"), ((last("r") - last("a")) / last("a") * 100).alias("final_diff_pct"),
+    )
+    months = x.groupBy(F.trunc("date", "MM").alias("m")).agg(last("a").alias("a"), last("r").alias("r"))
+    return with_single(out, months.agg(F.when(F.count(F.lit(1)) > 3, corr("a", "r")).otherwise(0.0).alias("monthly_correlation")))
