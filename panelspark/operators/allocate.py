@@ -147,3 +147,46 @@ def max_sharpe(mean, cov, cap: float = 1.0, steps: int = 120):
         if ratio > best_ratio:
             best, best_ratio = w, ratio
     return best
+
+
+def projected(df: DataFrame, low: float, high: float, exposure: float, turnover: float, iterations: int = 10) -> DataFrame:
+    """df (date, algo_id, w, current) with w brought towards the feasible set of its date by alternating projections.
+
+    Each round clips to [low, high], scales the sum down to `exposure` and shrinks the move from `current` to
+    `turnover`; a date is done once a round changes no weight by more than 1e-8 and 1e-5 of it. Null weights count 0.
+    """
+    by_date = Window.partitionBy("date")
+    x = df.withColumn("w", F.coalesce("w", F.lit(0.0))).withColumn("current", F.coalesce("current", F.lit(0.0))).withColumn("_done", F.lit(False))
+    for _ in range(iterations):
+        x = x.withColumn("_c", F.greatest(F.least("w", F.lit(high)), F.lit(low)))
+        x = x.withColumn("_t", F.sum("_c").over(by_date))
+        x = x.withColumn("_c", F.when(F.col("_t") > exposure, F.col("_c") * exposure / F.when(F.col("_t") > exposure, F.col("_t"))).otherwise(F.col("_c")))
+        x = x.withColumn("_t", F.sum(F.abs(F.col("_c") - F.col("current"))).over(by_date) / 2)
+        x = x.withColumn("_c", F.when(F.col("_t") > turnover, F.col("current") + turnover / F.when(F.col("_t") > turnover, F.col("_t")) * (F.col("_c") - F.col("current"))).otherwise(F.col("_c")))
+        x = x.withColumn("_n", F.when(F.col("_done"), F.col("w")).otherwise(F.col("_c")))
+        still = F.max((F.abs(F.col("_n") - F.col("w")) > 1e-8 + 1e-5 * F.abs("w")).cast("int")).over(by_date) == 0
+        x = x.withColumn("_done", still).withColumn("w", F.col("_n"))
+    return x.drop("_c", "_t", "_n", "_done")
+
+
+def decoded(budgets: DataFrame, members: DataFrame) -> DataFrame:
+    """(date, algo_id, w): the weights of families spread equally over their living members; a family without any gives its share to the others in proportion.
+
+    budgets: date, family, w; members: date, family, algo_id, those alive. Negative and null budgets count 0; a date
+    whose budgets add up to 0 counts every family alike; a date without a living member in any family gives nothing.
+    """
+    date = Window.partitionBy("date")
+    b = budgets.withColumn("_w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
+    total = F.sum("_w").over(date)
+    b = b.withColumn("_w", F.when(total > 1e-8, F.col("_w") / F.when(total > 1e-8, total)).otherwise(1.0 / F.count(F.lit(1)).over(date)))
+    alive = members.groupBy("date", "family").agg(F.count(F.lit(1)).alias("_n"))
+    held = b.join(alive, ["date", "family"]).withColumn("_s", F.sum("_w").over(date))
+    each = held.withColumn("_each", F.when(F.col("_s") > 1e-8, F.col("_w") / F.when(F.col("_s") > 1e-8, F.col("_s"))).otherwise(F.col("_w")) / F.col("_n"))
+    return members.join(each.select("date", "family", "_each"), ["date", "family"]).select("date", "algo_id", F.col("_each").alias("w"))
+
+
+def encoded(weights: DataFrame, families: DataFrame) -> DataFrame:
+    """(date, family, w): the summed weights of each family's algorithms (date, algo_id, w), as shares of their sum where it is above 1e-8."""
+    g = weights.join(families, "algo_id").groupBy("date", "family").agg(F.sum("w").alias("w"))
+    total = F.sum("w").over(Window.partitionBy("date"))
+    return g.withColumn("w", F.when(total > 1e-8, F.col("w") / F.when(total > 1e-8, total)).otherwise(F.col("w")))

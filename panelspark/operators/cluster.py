@@ -6,6 +6,8 @@ k-means, mixtures and PCA use Spark's own distributed ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -64,6 +66,64 @@ def principal(df: DataFrame, key: str, features: list[str], k: int = 2) -> DataF
     return out.select(key, *(vector_to_array("_c")[i].alias(f"pc{i + 1}") for i in range(k)))
 
 
+def loadings(df: DataFrame, features: list[str], k: int = 2) -> DataFrame:
+    """(component, feature, loading, share): the directions of the first k components of the standardised features and their shares of the variance."""
+    a = _assembled(df, features)
+    s = StandardScaler(inputCol="_x", outputCol="_z", withMean=True).fit(a).transform(a)
+    fitted = PCA(k=k, inputCol="_z", outputCol="_c").fit(s)
+    directions, share = fitted.pc.toArray(), fitted.explainedVariance.toArray()
+    rows = [(i + 1, f, float(directions[j, i]), float(share[i])) for i in range(k) for j, f in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "component int, feature string, loading double, share double")
+
+
+def by_count(df: DataFrame, key: str, features: list[str], counts: range = range(2, 11)) -> DataFrame:
+    """(k, clusters, silhouette, calinski_harabasz, davies_bouldin) of k-means for each number of clusters; clusters: those found."""
+    from ..session import cut_lineage
+
+    base = cut_lineage(df.select(key, *features))
+    out = [quality(kmeans(base, key, features, k), features).select(F.lit(k).alias("k"), F.col("k").alias("clusters"), "silhouette", "calinski_harabasz", "davies_bouldin") for k in counts]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def two_layers(df: DataFrame, key: str, first: list[str], second: list[str], k1: int, k2: int, least: int = 50, seed: int = 42) -> DataFrame:
+    """(key, layer1, layer2, label): k-means on the first features, then on the second ones within each cluster of `least` rows; label joins both.
+
+    Smaller clusters have layer2 0. The second layer is one fit per cluster of the first, of which there are k1.
+    """
+    from ..session import cut_lineage
+
+    one = cut_lineage(kmeans(df.select(key, *first), key, first, k1, seed).select(key, F.col("label").alias("layer1")).join(df.select(key, *[c for c in second]), key))
+    sizes = {r["layer1"]: r["n"] for r in one.groupBy("layer1").agg(F.count(F.lit(1)).alias("n")).collect()}  # k1 rows
+    parts = []
+    for c, n in sorted(sizes.items()):
+        members = one.filter(F.col("layer1") == c)
+        inner = kmeans(members.select(key, *second), key, second, k2, seed).select(key, F.col("label").alias("layer2")) if n >= least else members.select(key, F.lit(0).alias("layer2"))
+        parts.append(inner.withColumn("layer1", F.lit(c)))
+    if not parts:
+        return df.select(key, F.lit(0).alias("layer1"), F.lit(0).alias("layer2"), F.lit("").alias("label")).limit(0)
+    return reduce(lambda a, b: a.unionByName(b), parts).select(key, "layer1", "layer2", F.concat_ws("_", "layer1", "layer2").alias("label"))
+
+
+def states_to_regimes(states: DataFrame) -> DataFrame:
+    """(state, regime) of a labelled series (state, trend, vol, momentum): the means of each state, scaled between the states, scored for four regimes.
+
+    The best scores are given first, each state and regime once; states left over take their own best regime.
+    """
+    g = states.groupBy("state").agg(*(F.avg(c).alias(c) for c in ("trend", "vol", "momentum")))
+    ends = g.agg(*(f(c).alias(f"{n}_{c}") for c in ("trend", "vol", "momentum") for n, f in (("lo", F.min), ("hi", F.max))))
+    x = with_single(g, ends)
+    t, v, m = (F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.5) for c in ("trend", "vol", "momentum"))
+    # How trend, volatility and momentum weigh in each regime.
+    scores = {
+        "expansion": 0.4 * t + 0.3 * (1 - v) + 0.3 * m, "slowdown": 0.3 * t + 0.4 * v + 0.3 * (1 - m),
+        "recession": 0.5 * (1 - t) + 0.5 * v, "recovery": 0.2 * (1 - t) + 0.4 * (1 - v) + 0.4 * m,
+    }
+    each = x.select("state", F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), s.alias("score")) for r, s in scores.items()))).alias("e")).select("state", "e.*")
+    taken = unique_assignment(each, "state", "regime", "score")
+    best = each.groupBy("state").agg(F.max_by("regime", F.struct("score", "regime")).alias("best"))
+    return best.join(taken, "state", "left").select("state", F.coalesce("regime", "best").alias("regime"))
+
+
 def quality(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """(n, k, calinski_harabasz, davies_bouldin, silhouette): from cluster sums; the silhouette by squared distances, in one pass each.
 

@@ -106,7 +106,8 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     """The whole grid with readings, filled values and marked gaps."""
     a = _ohlc_grid(spark, d).select(F.lit("ohlc").alias("tab"), F.col("file_id").cast("string").alias("source_key"), "start", "value", "state")
     b = _panel_grid(spark, d).select(F.lit("algo_returns").alias("tab"), F.col("algo_id").alias("source_key"), "start", "value", "state")
-    return a.unionByName(b)
+    both = a.unionByName(b)
+    return both.select("tab", "source_key", F.date_format("start", "yyyy-MM-dd HH:mm").alias("slot"), (F.round("value", 6) + 0.0).alias("value"), "state")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_conventions, p3_found, p3_reasons, p4_found, p4_rows, p5_found, p5_rolling, p6_found, p6_grid)}

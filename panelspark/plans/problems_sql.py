@@ -15,6 +15,21 @@ j AS (SELECT line_id, line_no, file, vals[at_d] AS dt, vals[at_c] AS cl, CASE WH
   WHEN NOT coalesce(regexp_full_match(vals[at_c], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND isfinite(TRY_CAST(vals[at_c] AS DOUBLE)), false) THEN 'close' END AS reason FROM v)
 """
 
+#: The regular grid of both tables: each slot with its last reading; readings numbered by slot, with their neighbours and the slopes of the curve.
+_GRID = """WITH f AS (SELECT DISTINCT file_id, step_minutes AS st, sessions = '24x5' AS wk FROM price_files),
+r0 AS (SELECT 'ohlc' AS tab, CAST(o.file_id AS VARCHAR) AS src, f.st, f.wk, time_bucket(to_minutes(f.st), o.ts, TIMESTAMP '2000-01-03') AS slot, {'a': o.ts, 'b': o.bar_id, 'c': 0.0} AS ord, o.close AS v FROM ohlc o JOIN f USING (file_id) WHERE o.close IS NOT NULL
+  UNION ALL SELECT 'algo_returns', algo_id, 1440, true, CAST(date AS TIMESTAMP), {'a': CAST(loaded_at AS TIMESTAMP), 'b': 0, 'c': close}, close FROM algo_returns WHERE close IS NOT NULL AND algo_id IS NOT NULL),
+sl AS (SELECT tab, src, slot, arg_max(v, ord) AS v FROM r0 WHERE NOT (wk AND isodow(slot) > 5) GROUP BY ALL),
+e AS (SELECT tab, src, st, wk, min(slot) AS a, max(slot) AS z FROM r0 GROUP BY ALL HAVING count(*) FILTER (NOT (wk AND isodow(slot) > 5)) > 0),
+g0 AS (SELECT tab, src, wk, unnest(generate_series(a, z, to_minutes(st))) AS slot FROM e), g AS (SELECT tab, src, slot, row_number() OVER (PARTITION BY tab, src ORDER BY slot) AS k FROM g0 WHERE NOT (wk AND isodow(slot) > 5)),
+kn AS (SELECT g.tab, g.src, g.k, sl.v, lag(g.k) OVER w AS pk, lag(sl.v) OVER w AS pv, lead(g.k) OVER w AS qk, lead(sl.v) OVER w AS qv, lead(g.k, 2) OVER w AS rk, lead(sl.v, 2) OVER w AS rv FROM g JOIN sl USING (tab, src, slot) WINDOW w AS (PARTITION BY g.tab, g.src ORDER BY g.k)),
+d AS (SELECT *, CAST(qk - k AS DOUBLE) AS h, (qv - v) / (qk - k) AS s, CASE WHEN k - pk <= 11 THEN CAST(k - pk AS DOUBLE) END AS hl, CASE WHEN k - pk <= 11 THEN (v - pv) / (k - pk) END AS sl, CASE WHEN rk - qk <= 11 THEN CAST(rk - qk AS DOUBLE) END AS hr, CASE WHEN rk - qk <= 11 THEN (rv - qv) / (rk - qk) END AS sr FROM kn),
+en AS (SELECT *, ((2 * h + hr) * s - h * sr) / (h + hr) AS e0, ((2 * h + hl) * s - h * sl) / (h + hl) AS e1 FROM d),
+m AS (SELECT *, CASE WHEN hl IS NOT NULL THEN CASE WHEN sl * s > 0 THEN (3 * (h + hl)) / ((2 * h + hl) / sl + (h + 2 * hl) / s) ELSE 0 END WHEN hr IS NOT NULL THEN CASE WHEN sign(e0) <> sign(s) THEN 0 WHEN sign(s) <> sign(sr) AND abs(e0) > 3 * abs(s) THEN 3 * s ELSE e0 END ELSE s END AS m0,
+  CASE WHEN hr IS NOT NULL THEN CASE WHEN sr * s > 0 THEN (3 * (h + hr)) / ((2 * hr + h) / s + (hr + 2 * h) / sr) ELSE 0 END WHEN hl IS NOT NULL THEN CASE WHEN sign(e1) <> sign(s) THEN 0 WHEN sign(s) <> sign(sl) AND abs(e1) > 3 * abs(s) THEN 3 * s ELSE e1 END ELSE s END AS m1 FROM en),
+x AS (SELECT g.tab, g.src, g.slot, g.k - m.k AS i, (g.k - m.k) / m.h AS t, m.* EXCLUDE (tab, src) FROM g ASOF LEFT JOIN m ON g.tab = m.tab AND g.src = m.src AND g.k >= m.k)
+"""
+
 SQL = {
     "p1_found": """
 WITH iv AS (
@@ -78,4 +93,7 @@ WHERE d.day IS NULL AND isodow(de.day) <= 5
     "p4_found": _LINES + "SELECT line_id, reason FROM j WHERE reason IS NOT NULL",
     "p4_rows": _LINES + """SELECT DISTINCT line_id, file AS file_name, line_no, substr(dt, 1, 10) || ' ' || rpad(substr(dt, 12), 8, ':00') AS datetime, CAST(cl AS DOUBLE) AS close
 FROM (SELECT * REPLACE (CASE WHEN length(dt) = 10 THEN dt || ' 00:00' ELSE dt END AS dt) FROM j WHERE reason IS NULL)""",
+    "p6_grid": _GRID + """SELECT tab, src AS source_key, strftime(slot, '%Y-%m-%d %H:%M') AS slot,
+  round(CASE WHEN i = 0 THEN v WHEN h <= 11 THEN (1 + 2 * t) * (1 - t) * (1 - t) * v + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * qv + t * t * (t - 1) * h * m1 END, 6) + 0.0 AS value,
+  CASE WHEN i = 0 THEN 'reading' WHEN h <= 11 THEN 'filled' ELSE 'gap' END AS state FROM x""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import corr
+from ..operators import allocate as al
 from ..operators import backtest as bt
 from ..operators import benchmark as bm
 from ..operators import panel as px
@@ -13,7 +14,7 @@ from ..operators import relations as rl
 from ..sources.tables import table, with_single
 from .base import ENRICHED, FAMILIES, MARKET, NATION_PRICES, PANEL, Registry, families, market, nation_panel, panel
 from .benchmark_queries import _FLOWS, flows
-from .strategy_queries import _HEURISTIC, _STEP, _WEEKLY, _stepped, heuristic, weekly_labels
+from .strategy_queries import _FACTORS, _HEURISTIC, _STEP, _WEEKLY, _stepped, heuristic, selected, weekly_labels
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -299,3 +300,75 @@ def cluster_universe(spark: SparkSession, d: str) -> DataFrame:
     top = g.orderBy(F.round("s", 9).desc(), "family").limit(3)
     chosen = f.join(top, "family", "left_semi")
     return p.join(chosen, "algo_id", "left_semi").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("ret"))
+
+
+def _projections(rounds: int = 10) -> str:
+    """The rounds of alternating projections as common table expressions, the last one named done."""
+    out = "q0 AS (SELECT date, algo_id, (1 / sd) / sum(1 / sd) OVER (PARTITION BY date) AS w, 1.0 / count(*) OVER (PARTITION BY date) AS cur, false AS dn FROM sel)"
+    for i in range(rounds):
+        out += f""", a{i} AS (SELECT *, greatest(least(w, 0.12), 0.02) AS c FROM q{i}), b{i} AS (SELECT *, CASE WHEN sum(c) OVER d > 0.95 THEN c * 0.95 / sum(c) OVER d ELSE c END AS e FROM a{i} WINDOW d AS (PARTITION BY date)),
+t{i} AS (SELECT *, sum(abs(e - cur)) OVER (PARTITION BY date) / 2 AS t FROM b{i}), n{i} AS (SELECT date, algo_id, w, cur, CASE WHEN dn THEN w WHEN t > 0.04 THEN cur + 0.04 / t * (e - cur) ELSE e END AS nw FROM t{i}),
+q{i + 1} AS (SELECT date, algo_id, nw AS w, cur, max(CAST(abs(nw - w) > 1e-8 + 1e-5 * abs(w) AS INT)) OVER (PARTITION BY date) = 0 AS dn FROM n{i})"""
+    return out
+
+
+@query(f"WITH {_FACTORS}, {_projections()} SELECT {_DAY.format('date')} AS date, algo_id, round(w, 8) AS w FROM q10", digits=8)
+def constraints_projected(spark: SparkSession, d: str) -> DataFrame:
+    x = al.equal(selected(spark, d)).withColumnRenamed("w", "current")
+    return al.projected(al.inverse_vol(x, "sd").select("date", "algo_id", "w", "current"), 0.02, 0.12, 0.95, 0.04).select("date", "algo_id", "w")
+
+
+# Family budgets at each month's first date: the size of the family's mean return; alive: a return on the date itself.
+@query(f"""
+WITH {PANEL}, {_MONTHS}, {FAMILIES}, al AS (SELECT p.date, f.family, p.algo_id, p.ret FROM panel p JOIN months USING (date) JOIN fam f USING (algo_id)),
+fs AS (SELECT DISTINCT family FROM fam), b0 AS (SELECT m.date, fs.family, coalesce(abs(x.r), 0.001) AS w FROM months m CROSS JOIN fs LEFT JOIN (SELECT date, family, avg(ret) AS r FROM al GROUP BY ALL) x ON x.date = m.date AND x.family = fs.family),
+b AS (SELECT date, family, CASE WHEN sum(w) OVER d > 1e-8 THEN w / sum(w) OVER d ELSE 1.0 / count(*) OVER d END AS w FROM b0 WINDOW d AS (PARTITION BY date)), n AS (SELECT date, family, count(*) AS n FROM al GROUP BY ALL),
+h AS (SELECT b.date, b.family, n.n, CASE WHEN sum(b.w) OVER (PARTITION BY b.date) > 1e-8 THEN b.w / sum(b.w) OVER (PARTITION BY b.date) ELSE b.w END AS w FROM b JOIN n ON n.date = b.date AND n.family = b.family)
+SELECT {_DAY.format('al.date')} AS date, al.algo_id, round(h.w / h.n, 8) AS w FROM al JOIN h ON h.date = al.date AND h.family = al.family""", digits=8)
+def family_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Family budgets as weights of the algorithms alive, at each month's first date."""
+    p, f = panel(spark, d), families(spark, d)
+    months = _months(p)
+    alive = p.join(months, "date").join(f, "algo_id").select("date", "family", "algo_id", "ret")
+    labels = f.agg(F.collect_set("family").alias("labels"))  # the few families
+    every = with_single(months, labels).select("date", F.explode("labels").alias("family"))
+    size = every.join(alive.groupBy("date", "family").agg(F.avg("ret").alias("r")), ["date", "family"], "left").select("date", "family", F.coalesce(F.abs("r"), F.lit(0.001)).alias("w"))
+    return al.decoded(size, alive.drop("ret"))
+
+
+@query(digits=6)
+def regimes_of_states(spark: SparkSession, d: str) -> DataFrame:
+    """The hidden Markov states of the market and the regime each is given."""
+    from ..operators import cluster as cl
+    from ..operators import regimes as rg
+
+    x = rg.inputs(market(spark, d).select("date", "ret"))
+    states = cl.hidden_markov(x, ["vol", "trend", "momentum"], 4).join(x, "date")
+    return cl.states_to_regimes(states.select("state", "trend", "vol", "momentum"))
+
+
+@query(digits=6)
+def feature_loadings(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import cluster as cl
+    from .inference_queries import _features
+
+    f, names = _features(spark, d)
+    return cl.loadings(f, names)
+
+
+@query(digits=4)
+def clusters_by_count(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import cluster as cl
+    from .inference_queries import _features
+
+    f, names = _features(spark, d)
+    return cl.by_count(f, "algo_id", names, range(2, 7))
+
+
+@query()
+def clusters_two_layers(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import cluster as cl
+    from .inference_queries import _features
+
+    f, names = _features(spark, d)
+    return cl.two_layers(f, "algo_id", names[:2], names[2:], 3, 2)

@@ -208,3 +208,45 @@ def test_assignment_is_that_of_taking_one_by_one(spark):
 def test_clusters_by_correlation(spark):
     df = spark.createDataFrame([("a", "b", 0.9), ("c", "d", -0.8), ("a", "c", 0.1), ("a", "d", 0.0), ("b", "c", None), ("b", "d", 0.2)], "a string, b string, corr double")
     assert parts(cluster.correlation_clusters(df, 2).collect(), "entity") == {frozenset("ab"), frozenset("cd")}
+
+
+def test_states_become_regimes(spark):
+    rng = np.random.default_rng(8)
+    means = {s: rng.normal(0, 1, 3) for s in range(5)}
+    rows = [(s, *(float(x) for x in m + rng.normal(0, 0.1, 3))) for s, m in means.items() for _ in range(20)]
+    got = {r["state"]: r["regime"] for r in cluster.states_to_regimes(spark.createDataFrame(rows, "state int, trend double, vol double, momentum double")).collect()}
+    m = pd.DataFrame(rows, columns=["s", "t", "v", "m"]).groupby("s").mean()
+    n = (m - m.min()) / (m.max() - m.min())
+    score = {(s, r): v for s, (t, v_, mo) in zip(n.index, n.to_numpy()) for r, v in {"expansion": 0.4 * t + 0.3 * (1 - v_) + 0.3 * mo, "slowdown": 0.3 * t + 0.4 * v_ + 0.3 * (1 - mo), "recession": 0.5 * (1 - t) + 0.5 * v_, "recovery": 0.2 * (1 - t) + 0.4 * (1 - v_) + 0.4 * mo}.items()}
+    want = {}
+    for (s, r), _ in sorted(score.items(), key=lambda x: -x[1]):
+        if s not in want and r not in want.values():
+            want[s] = r
+    for s in n.index:
+        want.setdefault(s, max(("expansion", "slowdown", "recession", "recovery"), key=lambda r: score[(s, r)]))
+    assert got == want
+
+
+def test_components_counts_and_layers(spark):
+    df, x = blobs(spark)
+    rows = cluster.loadings(df, ["u", "v"]).collect()
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values, vectors = np.linalg.eigh(np.cov(z.T))
+    for c in (1, 2):
+        mine = np.array([r["loading"] for r in rows if r["component"] == c])
+        assert abs(mine @ vectors[:, -c]) == pytest.approx(1, abs=1e-9) and next(r["share"] for r in rows if r["component"] == c) == pytest.approx(values[-c] / values.sum(), abs=1e-9)
+    q = {r["k"]: r for r in cluster.by_count(df, "id", ["u", "v"], range(2, 5)).collect()}
+    assert max(q, key=lambda k: q[k]["silhouette"]) == 3 and q[3]["clusters"] == 3
+    two = cluster.two_layers(df, "id", ["u", "v"], ["u", "v"], 3, 2, least=40).collect()
+    assert len(two) == 120 and len({r["label"] for r in two}) == 6
+    assert {r["layer2"] for r in cluster.two_layers(df, "id", ["u", "v"], ["u", "v"], 3, 2, least=41).collect()} == {0}
+    assert cluster.two_layers(df.limit(0), "id", ["u"], ["v"], 2, 2).count() == 0
+
+
+def test_budgets_of_families_to_members(spark):
+    budgets = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (1, "dead", 1.0), (1, "minus", -5.0), (2, "a", 0.0), (2, "b", None), (3, "dead", 1.0)], "date int, family string, w double")
+    members = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", "z"), (2, "a", "x"), (2, "b", "z"), (2, "other", "o")], "date int, family string, algo_id string")
+    got = {(r["date"], r["algo_id"]): r["w"] for r in allocate.decoded(budgets, members).collect()}
+    assert got == pytest.approx({(1, "x"): 1 / 3, (1, "y"): 1 / 3, (1, "z"): 1 / 3, (2, "x"): 0.5, (2, "z"): 0.5})
+    back = allocate.encoded(spark.createDataFrame([(1, "x", 0.2), (1, "y", 0.1), (1, "z", 0.1)], "date int, algo_id string, w double"), members.filter("date = 1").select("algo_id", "family"))
+    assert {r["family"]: r["w"] for r in back.collect()} == pytest.approx({"a": 0.75, "b": 0.25})
