@@ -185,15 +185,8 @@ def composition_by_family(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {TRADES}, {FAMILIES}, j AS (SELECT CAST(date_trunc('month', date_open) AS DATE) AS month, coalesce(f.family, 'unmapped') AS family, volume FROM t LEFT JOIN fam f USING (algo_id) WHERE date_open IS NOT NULL)
-SELECT month, round(coalesce(sum(volume) FILTER (family = 'carry'), 0), 6) AS carry, round(coalesce(sum(volume) FILTER (family = 'reversion'), 0), 6) AS reversion, round(coalesce(sum(volume) FILTER (family = 'trend'), 0), 6) AS trend FROM j GROUP BY month""")
+SELECT month, family, round(coalesce(sum(volume), 0), 6) AS volume FROM j GROUP BY month, family""")
 def family_month_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    j = trades(spark, d).filter("date_open IS NOT NULL").join(families(spark, d), "algo_id", "left")
-    p = j.groupBy(F.trunc("date_open", "MM").alias("month")).pivot("family", ["carry", "reversion", "trend"]).agg(F.sum("volume"))
-    return p.na.fill(0.0)
-
-
-@query()
-def family_month_crosstab_all(spark: SparkSession, d: str) -> DataFrame:
     """(month, family, volume): every family found, in rows; trades without one as `unmapped`."""
     j = trades(spark, d).filter("date_open IS NOT NULL").join(families(spark, d), "algo_id", "left").withColumn("family", F.coalesce("family", F.lit("unmapped")))
     return j.groupBy(F.trunc("date_open", "MM").alias("month"), "family").agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"))

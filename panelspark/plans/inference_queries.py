@@ -71,16 +71,8 @@ def metrics_long(spark: SparkSession, d: str) -> DataFrame:
     return m.unpivot("algo_id", ["mean", "std", "low", "high"], "metric", "value")
 
 
-@query(f"""
-WITH {PANEL}, {FAMILIES}, j AS (SELECT p.date, f.family, p.ret FROM panel p JOIN fam f USING (algo_id))
-SELECT date, round(avg(ret) FILTER (family = 'carry'), 10) + 0.0 AS carry, round(avg(ret) FILTER (family = 'reversion'), 10) + 0.0 AS reversion, round(avg(ret) FILTER (family = 'trend'), 10) + 0.0 AS trend FROM j GROUP BY date""", digits=10)
+@query(f"WITH {PANEL}, {FAMILIES} SELECT p.date, f.family, round(avg(p.ret), 10) + 0.0 AS ret FROM panel p LEFT JOIN fam f USING (algo_id) GROUP BY p.date, f.family", digits=10)
 def observation_matrix(spark: SparkSession, d: str) -> DataFrame:
-    j = panel(spark, d).join(families(spark, d), "algo_id")
-    return j.groupBy("date").pivot("family", ["carry", "reversion", "trend"]).agg(F.avg("ret"))
-
-
-@query(digits=10)
-def observation_matrix_all(spark: SparkSession, d: str) -> DataFrame:
     """(date, family, ret): every family found, in rows; algorithms without a family as null."""
     j = panel(spark, d).join(families(spark, d), "algo_id", "left")
     return j.groupBy("date", "family").agg(F.avg("ret").alias("ret"))
@@ -145,20 +137,14 @@ def asset_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {NATION_PRICES}, top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 10), pt AS (SELECT p.* FROM panel p JOIN top USING (algo_id))
+WITH {NATION_PRICES}, top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 100), pt AS (SELECT p.* FROM panel p JOIN top USING (algo_id))
 SELECT a.algo_id AS a, b.algo_id AS b, round(covar_samp(a.ret, b.ret), 6) + 0.0 AS cov, round(0.9 * covar_samp(a.ret, b.ret), 6) + 0.0 AS shrunk, count(*) AS n FROM pt a JOIN pt b ON a.date = b.date AND a.algo_id < b.algo_id GROUP BY ALL HAVING count(*) > 1""")
-def cov_matrix_pairs(spark: SparkSession, d: str, top: int = 10) -> DataFrame:
+def cov_matrix_pairs(spark: SparkSession, d: str, top: int = 100) -> DataFrame:
     m = pr.moments(nation_panel(spark, d), top=top).filter("n > 1")
     cov = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)
     return m.select("a", "b", cov.alias("cov"), (0.9 * cov).alias("shrunk"), F.col("n").cast("long").alias("n"))
 
 
-@query()
-def cov_matrix_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """Over all entities up to the reference's cap of 100."""
-    return cov_matrix_pairs(spark, d, 100)
-
-
 @query()
 def rolling_pca_share(spark: SparkSession, d: str) -> DataFrame:
     dense = px.densify(nation_panel(spark, d), "algo_id", "ret", F.lit(0.0))
@@ -166,18 +152,15 @@ def rolling_pca_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT vec_id, label, embedding[1:8] AS v FROM embeddings), n AS (SELECT label, count(*) AS n FROM x GROUP BY label),
+WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT label, count(*) AS n FROM x GROUP BY label),
 d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(pow(list_distance(a.v, b.v), 2)) AS s, any_value(n.n) AS n FROM x a, x b JOIN n ON n.label = b.label GROUP BY ALL),
-m AS (SELECT vec_id, max(CASE WHEN la = lb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b FROM d GROUP BY vec_id)
-SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM n) AS k, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) + 0.0 AS silhouette FROM m""", digits=4)
+m AS (SELECT vec_id, max(CASE WHEN la = lb AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b FROM d GROUP BY vec_id),
+e AS (SELECT vec_id, label, unnest(v) AS v, generate_subscripts(v, 1) AS i FROM x), c AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT i, avg(v) AS m FROM e GROUP BY i),
+w AS (SELECT e.label, sum(pow(e.v - c.m, 2)) AS w FROM e JOIN c USING (label, i) GROUP BY e.label), b AS (SELECT sum(c.n * pow(c.m - g.m, 2)) AS b FROM c JOIN g USING (i)), r AS (SELECT label, sqrt(w / n) AS r FROM w JOIN n USING (label)),
+dc AS (SELECT a.label AS la, z.label AS lb, sqrt(sum(pow(a.m - z.m, 2))) AS d FROM c a JOIN c z ON a.i = z.i AND a.label <> z.label GROUP BY ALL), db AS (SELECT dc.la, max((p.r + q.r) / dc.d) AS v FROM dc JOIN r p ON p.label = dc.la JOIN r q ON q.label = dc.lb GROUP BY dc.la),
+t AS (SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM n) AS k)
+SELECT t.n, t.k, round((SELECT b FROM b) / (t.k - 1) / ((SELECT sum(w) FROM w) / (t.n - t.k)), 4) AS calinski_harabasz, round((SELECT avg(v) FROM db), 4) AS davies_bouldin, round((SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM m), 4) + 0.0 AS silhouette FROM t""", digits=4)
 def cluster_quality(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    return cl.quality(x, [f"x{i}" for i in range(8)]).select("n", "k", "silhouette")
-
-
-@query(digits=4)
-def cluster_quality_all(spark: SparkSession, d: str) -> DataFrame:
-    """All three measures over all dimensions; cluster_quality and its SQL read the first eight."""
     e = table(spark, d, "embeddings")
     size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     names = [f"x{i}" for i in range(size)]

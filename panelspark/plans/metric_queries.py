@@ -147,7 +147,7 @@ def composite_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Pairs are taken among the nations, whose prices share their days.
-_NTOP = NATION_PRICES + ", top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 15), pt AS (SELECT p.* FROM panel p JOIN top USING (algo_id))"
+_NTOP = NATION_PRICES + ", top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 100), pt AS (SELECT p.* FROM panel p JOIN top USING (algo_id))"
 _NPAIRS = _NTOP + ", pc AS (SELECT a.algo_id AS a, b.algo_id AS b, corr(a.ret, b.ret) AS corr, count(*) AS n FROM pt a JOIN pt b ON a.date = b.date AND a.algo_id < b.algo_id GROUP BY ALL HAVING count(*) >= 30)"
 
 
@@ -155,42 +155,42 @@ _NPAIRS = _NTOP + ", pc AS (SELECT a.algo_id AS a, b.algo_id AS b, corr(a.ret, b
 _ALL, _ALL_ROLLING = 100, 50
 
 
-def _pairs(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return pr.correlations(nation_panel(spark, d), top=top)
 
 
 @query(f"WITH {_NPAIRS} SELECT a, b, round(corr, 6) + 0.0 AS corr, n FROM pc")
-def corr_matrix_pairs(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def corr_matrix_pairs(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return _pairs(spark, d, top)
 
 
 @query(f"WITH {_NPAIRS}, s AS (SELECT a, b, corr FROM pc UNION ALL SELECT b, a, corr FROM pc), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(corr, 9), b) AS rank FROM s) SELECT a, b, round(corr, 6) + 0.0 AS corr, rank FROM r WHERE rank <= 5")
-def best_diversifiers(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def best_diversifiers(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     p = _pairs(spark, d, top).withColumn("corr", F.round("corr", 9))
     return pr.best_diversifiers(p, 5)
 
 
 @query(f"WITH {_NPAIRS} SELECT a, b, round(corr, 6) + 0.0 AS corr, n FROM pc WHERE abs(corr) < 0.02")
-def low_corr_pairs(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def low_corr_pairs(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return _pairs(spark, d, top).filter(F.abs("corr") < 0.02)
 
 
 @query(f"""
 WITH {_NPAIRS}, q AS (SELECT a, b, round(corr, 9) AS corr FROM pc), h AS (SELECT * FROM q ORDER BY corr DESC, a, b LIMIT 10), l AS (SELECT * FROM q ORDER BY corr, a, b LIMIT 10), s AS (SELECT * FROM q ORDER BY abs(corr) DESC, a, b LIMIT 10)
 SELECT a, b, round(corr, 6) + 0.0 AS corr FROM (SELECT * FROM h UNION SELECT * FROM l UNION SELECT * FROM s)""")
-def top_pairs(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def top_pairs(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return pr.top_pairs(_pairs(spark, d, top).withColumn("corr", F.round("corr", 9)), 10)
 
 
 @query(f"""
 WITH {_NPAIRS}, q AS (SELECT round(corr, 9) AS c FROM pc), l AS (SELECT min(c) AS lo, max(c) AS hi FROM q)
 SELECT CAST(least(floor((c - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM q, l GROUP BY ALL""")
-def corr_histogram(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def corr_histogram(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return pr.histogram(_pairs(spark, d, top).withColumn("corr", F.round("corr", 9)), "corr", 20)
 
 
 @query(f"WITH {_NPAIRS} SELECT count(*) AS n, round(avg(corr), 8) + 0.0 AS mean, round(quantile_cont(corr, 0.5), 8) + 0.0 AS median, round(stddev_samp(corr), 8) AS std, round(avg(CAST(abs(corr) > 0.05 AS INT)), 8) AS strong FROM pc", digits=8)
-def corr_statistics(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def corr_statistics(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return _pairs(spark, d, top).agg(F.count(F.lit(1)).alias("n"), F.avg("corr").alias("mean"), F.expr("percentile(corr, 0.5)").alias("median"), F.stddev_samp("corr").alias("std"), F.avg((F.abs("corr") > 0.05).cast("int")).alias("strong"))
 
 
@@ -202,12 +202,12 @@ def rolling_corr_pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {NATION_PRICES}, top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 6), pt AS (SELECT p.algo_id, p.date, p.ret FROM panel p JOIN top USING (algo_id)),
+WITH {NATION_PRICES}, top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 50), pt AS (SELECT p.algo_id, p.date, p.ret FROM panel p JOIN top USING (algo_id)),
 dt AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM pt)), x AS (SELECT pt.*, dt.i FROM pt JOIN dt USING (date)),
 pp AS (SELECT a.algo_id AS a, b.algo_id AS b, a.i, a.ret AS x, b.ret AS y FROM x a JOIN x b ON a.i = b.i AND a.algo_id < b.algo_id),
 w AS (SELECT dt.date, pp.a, pp.b, corr(pp.x, pp.y) AS c FROM dt JOIN pp ON pp.i BETWEEN dt.i - 41 AND dt.i WHERE dt.i >= 41 GROUP BY ALL HAVING count(*) >= 5)
 SELECT date, round(avg(c), 6) + 0.0 AS mean_corr, count(*) AS pairs FROM w GROUP BY date""")
-def mean_rolling_corr(spark: SparkSession, d: str, top: int = 6) -> DataFrame:
+def mean_rolling_corr(spark: SparkSession, d: str, top: int = _ALL_ROLLING) -> DataFrame:
     return pr.mean_correlation(nation_panel(spark, d), top, 42)
 
 
@@ -215,7 +215,7 @@ def mean_rolling_corr(spark: SparkSession, d: str, top: int = 6) -> DataFrame:
 WITH {_NTOP}, v AS (SELECT a.algo_id AS a, b.algo_id AS b, covar_samp(a.ret, b.ret) AS c, var_samp(a.ret) AS va, var_samp(b.ret) AS vb FROM pt a JOIN pt b ON a.date = b.date AND a.algo_id < b.algo_id GROUP BY ALL HAVING count(*) > 1),
 o AS (SELECT k, avg(v) AS v FROM (SELECT a AS k, va AS v FROM v UNION ALL SELECT b, vb FROM v) GROUP BY k), s AS (SELECT sum(sqrt(v)) AS sd, sum(v) AS v, count(*) AS n FROM o), c AS (SELECT sum(c) AS c FROM v)
 SELECT round(CASE WHEN s.n >= 2 AND s.v + 2 * c.c > 0 THEN s.sd / sqrt(s.v + 2 * c.c) ELSE 1 END, 6) AS ratio, s.n FROM s, c""")
-def diversification_ratio(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def diversification_ratio(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     return pr.diversification(pr.moments(nation_panel(spark, d), top=top))
 
 
@@ -226,16 +226,16 @@ f AS (SELECT a, b, covar_samp(y, x) / var_pop(x) AS h, count(*) AS n FROM j GROU
 l AS (SELECT *, lag(e) OVER (PARTITION BY a, b ORDER BY date) AS lg FROM r),
 g AS (SELECT a, b, any_value(h) AS h, any_value(n) AS n, regr_slope(e - lg, lg) AS phi, regr_syy(e - lg, lg) AS syy, regr_sxx(e - lg, lg) AS sxx, regr_sxy(e - lg, lg) AS sxy, regr_count(e - lg, lg) AS m, avg(e) AS me, stddev_samp(e) AS se, arg_max(e, date) AS le FROM l GROUP BY ALL)
 SELECT a, b, round(h, 6) + 0.0 AS hedge, round(phi / sqrt(greatest(syy - phi * sxy, 0) / (m - 2) / sxx), 5) + 0.0 AS t_stat, round(CASE WHEN phi < 0 THEN least(-ln(2) / phi, 9999) ELSE 9999 END, 6) AS half_life, round((le - me) / se, 6) + 0.0 AS z, n FROM g""")
-def cointegration(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def cointegration(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     best = _pairs(spark, d, top).orderBy(F.round("corr", 9).desc(), "a", "b").limit(20)
     out = pr.cointegration(nation_prices(spark, d), best)
     return out.withColumn("t_stat", F.round("t_stat", 5))
 
 
 @query(f"""
-WITH {NATION_PRICES}, q AS (SELECT *, CASE WHEN year(date) <= 1997 THEN 'early' ELSE 'late' END AS regime FROM panel), top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 8), t AS (SELECT q.* FROM q JOIN top USING (algo_id))
+WITH {NATION_PRICES}, q AS (SELECT *, CASE WHEN year(date) <= 1997 THEN 'early' ELSE 'late' END AS regime FROM panel), top AS (SELECT algo_id FROM panel GROUP BY algo_id ORDER BY count(*) DESC, algo_id LIMIT 100), t AS (SELECT q.* FROM q JOIN top USING (algo_id))
 SELECT a.algo_id AS a, b.algo_id AS b, a.regime, round(corr(a.ret, b.ret), 6) + 0.0 AS corr, count(*) AS n FROM t a JOIN t b ON a.date = b.date AND a.algo_id < b.algo_id GROUP BY ALL HAVING count(*) >= 30""")
-def corr_by_regime(spark: SparkSession, d: str, top: int = 8) -> DataFrame:
+def corr_by_regime(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     p = nation_panel(spark, d).withColumn("regime", F.when(F.year("date") <= 1997, "early").otherwise("late"))
     return pr.correlations(p, top=top, by="regime")
 
@@ -243,17 +243,6 @@ def corr_by_regime(spark: SparkSession, d: str, top: int = 8) -> DataFrame:
 @query(f"""
 WITH {_NPAIRS}, e AS (SELECT a, b, corr FROM pc WHERE abs(corr) > 0.03), s AS (SELECT a AS node, corr FROM e UNION ALL SELECT b, corr FROM e)
 SELECT node, count(*) AS degree, round(sum(abs(corr)), 6) AS strength FROM s GROUP BY node""")
-def corr_graph_nodes(spark: SparkSession, d: str, top: int = 15) -> DataFrame:
+def corr_graph_nodes(spark: SparkSession, d: str, top: int = _ALL) -> DataFrame:
     e = pr.both_directions(_pairs(spark, d, top).filter(F.abs("corr") > 0.03))
     return e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum(F.abs("corr")).alias("strength"))
-
-
-def _whole(f, top: int, digits: int = 6) -> None:
-    """Registers a query over pairs once more as name_all, over all entities up to the reference's cap."""
-    query(name=f"{f.__name__}_all", digits=digits)(lambda spark, d: f(spark, d, top))
-
-
-for _f in (corr_matrix_pairs, best_diversifiers, low_corr_pairs, top_pairs, corr_histogram, cointegration, diversification_ratio, corr_by_regime, corr_graph_nodes):
-    _whole(_f, _ALL)
-_whole(corr_statistics, _ALL, 8)
-_whole(mean_rolling_corr, _ALL_ROLLING)

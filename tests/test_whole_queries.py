@@ -1,4 +1,4 @@
-"""Queries that leave nothing out, against brute force; the SQL of their namesakes is of a subset."""
+"""Queries on pairs, clusters and families that leave nothing out, against brute force beside their SQL."""
 
 import os
 from itertools import combinations
@@ -29,7 +29,7 @@ def test_cluster_quality_of_whole_vectors(spark, small):
     r = [np.sqrt(w / (c == o).sum()) for o, w in zip(labels, within)]
     k = range(len(labels))
     db = np.mean([max((r[i] + r[j]) / np.linalg.norm(mu[i] - mu[j]) for j in k if j != i) for i in k])
-    got = registry.QUERIES["cluster_quality_all"](spark, small).collect()
+    got = registry.QUERIES["cluster_quality"](spark, small).collect()
     assert len(got) == 1 and (got[0]["n"], got[0]["k"]) == (len(x), len(labels))
     assert got[0]["silhouette"] == pytest.approx(np.mean(s), abs=1e-4)
     assert got[0]["calinski_harabasz"] == pytest.approx(between / (len(labels) - 1) / (sum(within) / (len(x) - len(labels))), abs=1e-4)
@@ -58,29 +58,29 @@ def test_pairs_of_all_nations(spark, larger, wide):
     both = {(a, b): wide[[a, b]].dropna() for a, b in combinations(sorted(wide.columns), 2)}
     want = {k: v.corr().iloc[0, 1] for k, v in both.items() if len(v) >= 30}
     assert wide.shape[1] > 15
-    got = rows(spark, larger, "corr_matrix_pairs_all").set_index(["a", "b"])["corr"].to_dict()
+    got = rows(spark, larger, "corr_matrix_pairs").set_index(["a", "b"])["corr"].to_dict()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-6, nan_ok=True) for k, v in want.items())
     c = np.array([*want.values()])
-    s = rows(spark, larger, "corr_statistics_all").iloc[0]
+    s = rows(spark, larger, "corr_statistics").iloc[0]
     assert s["n"] == len(want) and s["mean"] == pytest.approx(np.nanmean(c), abs=1e-7)
-    assert rows(spark, larger, "corr_histogram_all")["n"].sum() == len(c)
-    assert len(rows(spark, larger, "low_corr_pairs_all")) == (np.abs(c) < 0.02).sum()
-    assert rows(spark, larger, "corr_graph_nodes_all")["degree"].sum() == 2 * (np.abs(c) > 0.03).sum()
-    assert rows(spark, larger, "top_pairs_all")["corr"].agg(["min", "max"]).tolist() == pytest.approx([c.min(), c.max()], abs=2e-6)
-    assert set(rows(spark, larger, "best_diversifiers_all")["a"]) == {x for k in want for x in k}
+    assert rows(spark, larger, "corr_histogram")["n"].sum() == len(c)
+    assert len(rows(spark, larger, "low_corr_pairs")) == (np.abs(c) < 0.02).sum()
+    assert rows(spark, larger, "corr_graph_nodes")["degree"].sum() == 2 * (np.abs(c) > 0.03).sum()
+    assert rows(spark, larger, "top_pairs")["corr"].agg(["min", "max"]).tolist() == pytest.approx([c.min(), c.max()], abs=2e-6)
+    assert set(rows(spark, larger, "best_diversifiers")["a"]) == {x for k in want for x in k}
     best = sorted(want, key=lambda k: (-round(want[k], 9), k))[:20]
-    assert set(map(tuple, rows(spark, larger, "cointegration_all")[["a", "b"]].to_numpy())) <= set(best)
-    cov = rows(spark, larger, "cov_matrix_pairs_all").set_index(["a", "b"])["cov"].to_dict()
+    assert set(map(tuple, rows(spark, larger, "cointegration")[["a", "b"]].to_numpy())) <= set(best)
+    cov = rows(spark, larger, "cov_matrix_pairs").set_index(["a", "b"])["cov"].to_dict()
     some = {k: v.cov().iloc[0, 1] for k, v in both.items() if len(v) > 1}
     assert cov.keys() == some.keys() and all(cov[k] == pytest.approx(v, abs=2e-6) for k, v in some.items())
-    assert rows(spark, larger, "diversification_ratio_all")["n"].iloc[0] == len({x for k in some for x in k})
+    assert rows(spark, larger, "diversification_ratio")["n"].iloc[0] == len({x for k in some for x in k})
     early = {d: str(d) < "1998" for d in wide.index}
     parts = [wide[[early[d] == e for d in wide.index]] for e in (True, False)]
-    assert len(rows(spark, larger, "corr_by_regime_all")) == sum(len(w[[a, b]].dropna()) >= 30 for w in parts for a, b in both)
+    assert len(rows(spark, larger, "corr_by_regime")) == sum(len(w[[a, b]].dropna()) >= 30 for w in parts for a, b in both)
 
 
 def test_rolling_measures_of_all_nations(spark, larger, wide):
-    got = rows(spark, larger, "mean_rolling_corr_all").set_index("date")
+    got = rows(spark, larger, "mean_rolling_corr").set_index("date")
     for day in (wide.index[41], wide.index[len(wide) // 2], wide.index[-1]):
         i = wide.index.get_loc(day)
         w = wide.iloc[i - 41 : i + 1]
@@ -105,7 +105,7 @@ def test_every_family_is_there(spark, larger):
     p = panel(spark, larger).select(F.col("date").cast("string").alias("date"), "algo_id", "ret").toPandas()
     p["family"] = p["algo_id"].map(fam).fillna("-")
     want = p.groupby(["date", "family"])["ret"].mean()
-    got = rows(spark, larger, "observation_matrix_all")
+    got = rows(spark, larger, "observation_matrix")
     got = got.assign(family=got["family"].fillna("-")).set_index(["date", "family"])["ret"]
     assert len({f for _, f in got.index} - {"-"}) > 3 and got.index.is_unique
     assert got.sort_index().index.tolist() == want.sort_index().index.tolist()
@@ -113,6 +113,6 @@ def test_every_family_is_there(spark, larger):
     t = trades(spark, larger).filter("date_open IS NOT NULL").select(F.date_format("date_open", "yyyy-MM-01").alias("month"), "algo_id", "volume").toPandas()
     t["family"] = t["algo_id"].map(fam).fillna("unmapped")
     want = t.groupby(["month", "family"])["volume"].sum().sort_index()
-    got = rows(spark, larger, "family_month_crosstab_all").set_index(["month", "family"])["volume"].sort_index()
+    got = rows(spark, larger, "family_month_crosstab").set_index(["month", "family"])["volume"].sort_index()
     assert got.index.tolist() == want.index.tolist()
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9, atol=1e-5)
