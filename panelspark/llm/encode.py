@@ -26,6 +26,11 @@ def one_per_document(docs: DataFrame, key: str) -> DataFrame:
     return one_per_key(docs, [key]) if repeated else docs
 
 
+def any_long(docs: DataFrame, text: str, spread_bytes: int) -> bool:
+    """Whether a text has spread_bytes or more: where none has, the way for those is left out of the plan, with its reads."""
+    return bool(docs.filter(F.octet_length(text) >= spread_bytes).limit(1).count())
+
+
 def _id_lists(encoded: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *(len(e) for e in encoded)])
     flat = np.concatenate(encoded) if encoded else np.empty(0, np.int32)
@@ -55,7 +60,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
     kind = base.schema["key"].dataType.simpleString()
     size = F.octet_length("text")
     here = _by_batch("text", lambda texts: _id_lists([vocabulary(name, folder).encode_by_fragments(t, fragment_bytes) for t in texts]), ["key"], "ids")
-    whole = base.filter(F.col("text").isNull() | (size < spread_bytes)).mapInArrow(here, f"key {kind}, ids array<int>")
+    schema = f"key {kind}, ids array<int>"
+    if not any_long(base, "text", spread_bytes):
+        return base.mapInArrow(here, schema).withColumnRenamed("key", key)
+    whole = base.filter(F.col("text").isNull() | (size < spread_bytes)).mapInArrow(here, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name, folder)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.tables import join_dimension, one_per_key, with_single
-from .encode import count_tokens, one_per_document
+from .encode import SPREAD_BYTES, any_long, count_tokens, encode, one_per_document
 from .vocabulary import FOLDER, VOCABULARY
 
 #: Bins of the hash over which the tokens of a source are summed up for the calibration.
@@ -86,10 +86,15 @@ def plan(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     return cut_lineage(wanted.groupBy("source").applyInPandas(fit, "source string, target_share double, max_repeat int, rate double, thresholds array<double>"))
 
 
-def document_sizes(docs: DataFrame, key: str, source: str, text: str, seed: int, name: str, folder: str) -> DataFrame:
-    """(key, source, u, n_tokens) of every document."""
+def document_sizes(docs: DataFrame, key: str, source: str, text: str, seed: int, name: str, folder: str, spread_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """(key, source, u, n_tokens) of every document, one row a key; texts from spread_bytes on are encoded over several tasks."""
     base = docs.select(F.col(key).alias("key"), label(F.col(source)).alias("source"), uniform(F.col(key), seed).alias("u"), F.col(text).alias("text"))
-    return count_tokens(base, ["key", "source", "u"], "text", name, folder)
+    if not any_long(base, "text", spread_bytes):
+        return count_tokens(base, ["key", "source", "u"], "text", name, folder)
+    long = F.coalesce(F.octet_length("text") >= spread_bytes, F.lit(False))
+    ids = encode(base.filter(long), "key", "text", name, folder, spread_bytes=spread_bytes)
+    of_long = base.filter(long).drop("text").join(ids.select("key", F.size("ids").alias("n_tokens")), "key")
+    return count_tokens(base.filter(~long), ["key", "source", "u"], "text", name, folder).unionByName(of_long)
 
 
 def times(docs: DataFrame, plans: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import one_per_document
+from .encode import SPREAD_BYTES, any_long, encode, one_per_document
 from .vocabulary import FOLDER, VOCABULARY, Vocabulary, vocabulary
 
 LIMIT, OVERLAP = 512, 64
@@ -94,14 +94,15 @@ class Boundaries:
         return self.base + self.table.best(lo - self.base, hi - self.base)
 
 
-def pieces(text: str | None, v: Vocabulary, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+def pieces(text: str | None, v: Vocabulary, limit: int = LIMIT, overlap: int = OVERLAP, ids: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(first byte, end byte, tokens, tokens repeated) of the pieces of a text; none if it has at most `limit` tokens.
 
     Each piece ends at the strongest cut of its permissible lengths (from half the limit on, rightmost of equals; from
     the previous end on if those hold no natural cut) and the next begins at the strongest cut in the outer half of
     the overlap. Tokens are those of the piece's text itself; if they exceed the limit, the window is shortened.
+    ids: those of the text, if known.
     """
-    ids = v.encode_by_fragments(text)
+    ids = v.encode_by_fragments(text) if ids is None else ids
     n = len(ids)
     if n <= limit:
         return []
@@ -145,13 +146,14 @@ def pieces(text: str | None, v: Vocabulary, limit: int = LIMIT, overlap: int = O
     return out
 
 
-def split(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, name: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
+def split(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, name: str = VOCABULARY, folder: str = FOLDER, spread_bytes: int = SPREAD_BYTES) -> DataFrame:
     """(key, piece_no, n_tokens, repeated, text): the pieces, from 0, of every text of more than `limit` tokens.
 
     A piece has at most `limit` tokens, of which the first `repeated` (at most `overlap`) are the end of the piece
     before. Shorter, empty and null texts give nothing. Rows with a null key are left out; repeated keys count once;
     an empty table gives an empty result. A text of at most `limit` bytes cannot have more tokens and is not read by
-    the tokenizer.
+    the tokenizer. Texts from spread_bytes on are encoded in fragments over several tasks; one task then takes their
+    pieces from the ids, encoding no more than the pieces' ends.
     """
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text") > limit)
     base = one_per_document(base, "key")
@@ -162,11 +164,18 @@ def split(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
         for b in batches:
             for i in range(b.num_rows):
                 whole = b.column("text")[i].as_py()
-                found = pieces(whole, v, limit, overlap)
+                ids = b.column("ids")[i].values.to_numpy(zero_copy_only=False) if "ids" in b.schema.names else None
+                found = pieces(whole, v, limit, overlap, ids)
                 data = whole.encode("utf-8", "surrogatepass") if found else b""
                 for j in range(0, len(found), 256):
                     some = found[j : j + 256]
                     cols = [b.column("key").take(pa.array([i] * len(some))), pa.array(range(j, j + len(some)), pa.int32()), pa.array([p[2] for p in some], pa.int32()), pa.array([p[3] for p in some], pa.int32()), pa.array([data[p[0] : p[1]].decode("utf-8", "surrogatepass") for p in some], pa.string())]
                     yield pa.RecordBatch.from_arrays(cols, ["key", "piece_no", "n_tokens", "repeated", "text"])
 
-    return base.mapInArrow(run, f"key {kind}, piece_no int, n_tokens int, repeated int, text string").withColumnRenamed("key", key)
+    schema = f"key {kind}, piece_no int, n_tokens int, repeated int, text string"
+    if not any_long(base, "text", spread_bytes):
+        return base.mapInArrow(run, schema).withColumnRenamed("key", key)
+    long = base.filter(F.octet_length("text") >= spread_bytes)
+    known = long.join(encode(long, "key", "text", name, folder, spread_bytes=spread_bytes), "key")
+    out = base.filter(F.octet_length("text") < spread_bytes).mapInArrow(run, schema).unionByName(known.mapInArrow(run, schema))
+    return out.withColumnRenamed("key", key)

@@ -158,3 +158,15 @@ def test_many_sources_and_clashing_names(spark):
     total = sum(len(v.encode(t)) for *_, t in rows)
     used = sum(len(v.encode(rows[r["doc_id"]][2])) for r in got)
     assert len({rows[r["doc_id"]][1] for r in got}) > 1900 and used / total == pytest.approx(1, abs=0.35)
+
+
+def test_long_texts_are_spread(spark):
+    rows = [(1, "big", prose(3000, 1)), (2, "big", "中文没有标点" * 900), (3, "mid", prose(40, 2)), (4, "mid", None), (5, "big", " " * 4000 + "end"), (3, "mid", prose(40, 2))]
+    df = docs(spark, rows)
+    one = {(r["doc_id"], r["piece_no"]): (r["n_tokens"], r["repeated"], r["text"]) for r in split.split(df).collect()}
+    two = {(r["doc_id"], r["piece_no"]): (r["n_tokens"], r["repeated"], r["text"]) for r in split.split(df, spread_bytes=2000).collect()}
+    assert one == two and {d for d, _ in one} == {1, 2, 5}
+    v = vocabulary()
+    unique = df.dropDuplicates(["doc_id"])
+    sizes = {r["key"]: r["n_tokens"] for r in mix.document_sizes(unique, "doc_id", "source", "text", 8, "byte_bpe_50k", "/opt/tokenizers", spread_bytes=2000).collect()}
+    assert sizes == {i: len(v.encode(t or "")) for i, _, t in rows}
