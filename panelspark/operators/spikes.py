@@ -523,12 +523,14 @@ def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: in
     """
     r = readings.select(F.col("source").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("rec_id").cast("long"), F.col("value").cast("double"), F.lit(0).alias("kind")).filter("rec_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     e = ends.select(F.col("source").cast("long"), F.lit(None).cast("long").alias("ts"), F.col("rec_id").cast("long"), F.col("value").cast("double"), F.lit(1).alias("kind")).filter("rec_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    untimed = r.filter("ts IS NULL AND NOT (value > 0 AND value < double('inf'))").select(F.lit("ohlc").alias("tab"), "rec_id", F.lit("range").alias("reason")).distinct()
+    r = r.filter("ts IS NOT NULL")
     per = readings.groupBy(F.col("source").cast("long").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     large = per.filter(F.col("n") > chunk_rows)
     args = (far, few, least, log10_chance)
     if within(large, 0):
         rows = r.unionByName(e)
-        return rows.groupBy("source").applyInPandas(lambda pdf: _judge(pdf, None, *args), _OUT)
+        return rows.groupBy("source").applyInPandas(lambda pdf: _judge(pdf, None, *args), _OUT).unionByName(untimed)
 
     large = large.filter("source IS NOT NULL").withColumn("chunks", F.ceil(F.col("n") / chunk_rows).cast("int"))
     most = large.agg(F.max("chunks")).first()[0] or 1
@@ -540,11 +542,11 @@ def implausible(readings: DataFrame, ends: DataFrame, far: float = 10.0, few: in
     # the number of cuts before a reading, by bisection; end values go to the last chunk
     steps = ", ".join(str(1 << i) for i in reversed(range(most.bit_length())))
     at = F.expr(f"aggregate(array({steps}), 0, (p, s) -> if(p + s <= size(cuts) AND get(cuts, p + s - 1) < ts, p + s, p))")
-    chunk = F.when(F.col("cuts").isNull(), 0).when(F.col("kind") == 1, F.size("cuts")).when(F.col("ts").isNull(), 0).otherwise(at)
+    chunk = F.when(F.col("cuts").isNull(), 0).when(F.col("kind") == 1, F.size("cuts")).otherwise(at)
     rows = join_dimension(r.unionByName(e), bounds, "source", "left").withColumn("chunk", chunk)
     cut = rows.filter("cuts IS NOT NULL").drop("cuts")
     halos = cut.groupBy("source", "chunk").applyInPandas(_chunk_ends, _ENDS).groupBy("source").applyInPandas(lambda pdf: _exchange(pdf, least, log10_chance), _HALOS)
     halos = cut_lineage(halos)
     seen = halos.join(_usual(cut, halos, few), "source")
     together = rows.drop("cuts").groupBy("source", "chunk").cogroup(seen.groupBy("source", "chunk"))
-    return together.applyInPandas(lambda pdf, halo: _judge(pdf, halo, *args), _OUT)
+    return together.applyInPandas(lambda pdf, halo: _judge(pdf, halo, *args), _OUT).unionByName(untimed)

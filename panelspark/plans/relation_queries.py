@@ -12,7 +12,7 @@ from ..operators import benchmark as bm
 from ..operators import panel as px
 from ..operators import relations as rl
 from ..sources.tables import table, with_single
-from .base import ENRICHED, FAMILIES, MARKET, NATION_PRICES, PANEL, Registry, families, market, nation_panel, panel
+from .base import ENRICHED, FAMILIES, MARKET, NATION_PRICES, NATION_TRADES, PANEL, Registry, families, market, nation_panel, nation_trades, panel
 from .benchmark_queries import _FLOWS, flows
 from .strategy_queries import _FACTORS, _HEURISTIC, _STEP, _WEEKLY, _stepped, heuristic, selected, weekly_labels
 
@@ -372,3 +372,45 @@ def clusters_two_layers(spark: SparkSession, d: str) -> DataFrame:
 
     f, names = _features(spark, d)
     return cl.two_layers(f, "algo_id", names[:2], names[2:], 3, 2)
+
+
+@query(f"""
+WITH {NATION_PRICES}, c AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM panel)), k AS (SELECT DISTINCT algo_id FROM panel), g AS (SELECT k.algo_id, c.date, c.i, p.ret AS r FROM k CROSS JOIN c LEFT JOIN panel p ON p.algo_id = k.algo_id AND p.date = c.date),
+j AS (SELECT a.algo_id AS a, b.algo_id AS b, a.i, a.date, CASE WHEN b.r IS NOT NULL THEN a.r END AS x, CASE WHEN a.r IS NOT NULL THEN b.r END AS y FROM g a JOIN g b ON a.i = b.i AND a.algo_id < b.algo_id),
+w AS (SELECT a, b, i, date, count(x) OVER v AS n, corr(x, y) OVER v AS r FROM j WINDOW v AS (PARTITION BY a, b ORDER BY i ROWS BETWEEN 42 PRECEDING AND 1 PRECEDING))
+SELECT {_DAY.format('date')} AS date, round(avg(r), 6) + 0.0 AS mean_corr, count(*) AS pairs FROM w WHERE i > 42 AND n >= 5 AND isfinite(r) GROUP BY date""")
+def mean_rolling_corr_before(spark: SparkSession, d: str) -> DataFrame:
+    """Mean correlation of all pairs over the 42 dates before each date, the date itself left out."""
+    from ..operators import pairs as pr
+
+    return pr.mean_correlation(nation_panel(spark, d), 50, 42, including=False)
+
+
+@query(f"""
+WITH {_WEEKLY}, v AS (SELECT * FROM lab WHERE lower(trim(label)) NOT IN ('', 'inactive', 'insufficient_data', 'error'))
+SELECT algo_id, {_DAY.format('week_end')} AS week_end, label FROM v WHERE week_end = (SELECT max(week_end) FROM v)""")
+def labels_of_latest_week(spark: SparkSession, d: str) -> DataFrame:
+    """The valid labels of the latest week that has any."""
+    lab = weekly_labels(spark, d).filter(~F.lower(F.trim("label")).isin("", "inactive", "insufficient_data", "error"))
+    return with_single(lab, lab.agg(F.max("week_end").alias("z"))).filter("week_end = z").select("algo_id", "week_end", "label")
+
+
+@query(f"""
+WITH {PANEL}, {FAMILIES}, {_PROFILES}, m AS (SELECT family, quantile_cont(sh, 0.5) AS score, count(*) AS n FROM pr JOIN fam USING (algo_id) GROUP BY family), k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, family) AS r FROM m)
+SELECT family, round(score, 6) + 0.0 AS score, n, score >= 1.0 AS beyond, score >= 1.0 OR r <= 3 AS kept FROM k""")
+def families_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Families with a median Sharpe of at least 1, and the three best ones in any case."""
+    m = _profiles(panel(spark, d)).join(families(spark, d), "algo_id").groupBy("family").agg(F.expr("percentile(sh, 0.5)").alias("score"), F.count(F.lit(1)).alias("n"))
+    r = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "family"))  # a row a family
+    return m.withColumn("r", r).select("family", "score", "n", (F.col("score") >= 1.0).alias("beyond"), ((F.col("score") >= 1.0) | (F.col("r") <= 3)).alias("kept"))
+
+
+@query(f"""
+WITH {NATION_PRICES}, {NATION_TRADES}, n AS (SELECT algo_id, count(*) AS k FROM panel GROUP BY algo_id), t AS (SELECT algo_id, count(*) AS n, avg(day_close - day_open) AS a, quantile_cont(day_close - day_open, 0.5) AS m FROM clean GROUP BY algo_id)
+SELECT algo_id, n AS trades, round(n / (k / 21.0), 6) AS trades_per_month, round(a, 6) AS mean_days, round(m, 6) AS median_days FROM t JOIN n USING (algo_id)""")
+def trades_per_month_of_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Trades per 21 rows of returns, mean and median duration in whole days."""
+    days = F.datediff("day_close", "day_open")
+    t = nation_trades(spark, d).withColumn("days", days).groupBy("algo_id").agg(F.count(F.lit(1)).alias("trades"), F.avg("days").alias("mean_days"), F.expr("percentile(days, 0.5)").alias("median_days"))
+    n = nation_panel(spark, d).groupBy("algo_id").agg(F.count(F.lit(1)).alias("k"))
+    return t.join(n, "algo_id").select("algo_id", "trades", (F.col("trades") / (F.col("k") / 21.0)).alias("trades_per_month"), "mean_days", "median_days")

@@ -175,3 +175,10 @@ def test_what_comes_back_every_day_is_no_spike(spark, chunk):
     x[500] += 0.03
     x[15 + 24 * 20] -= 0.03  # the hour that should be high and is not
     assert run(spark, {1: 100 * np.exp(x)}, chunk_rows=chunk) == {("ohlc", 100_500, "spike"), ("ohlc", 100_495, "spike")}
+
+
+def test_readings_without_a_time_are_checked_for_range(spark):
+    rows = [(1, None, 900 + i, v, 9, 9, 9) for i, v in enumerate([-1.0, 0.0, 5.0, None, float("inf"), 1e300])] * 2 + [(1, T0 + timedelta(hours=i), i, float(v), 9, 9, 9) for i, v in enumerate(series(300, 6))]
+    for chunk in (sp.CHUNK_ROWS, 100):
+        out = sp.implausible(spark.createDataFrame(rows, R), spark.createDataFrame([], E), chunk_rows=chunk).collect()
+        assert sorted((r["tab"], r["rec_id"], r["reason"]) for r in out) == [("ohlc", 900, "range"), ("ohlc", 901, "range"), ("ohlc", 904, "range")]
