@@ -119,7 +119,8 @@ def reconstruction_statistics(series: DataFrame, year: float = 252.0) -> DataFra
     """One row on a reconstruction r held against the actual a (date, a, r: levels): both start at 100, compared by level and by log return.
 
     R squared is 1 minus the squared differences of log returns over those from the actual's mean; the monthly
-    correlation is that of month-end levels, 0 up to three months. Rows in which either is missing do not count.
+    correlation is that of month-end levels, 0 up to three months. Rows in which either is missing do not count; without
+    any, all but the counts and that 0 are null.
     """
     w = Window.orderBy("date")  # one series, a row a day
     x = series.filter("a IS NOT NULL AND r IS NOT NULL")
@@ -130,7 +131,7 @@ def reconstruction_statistics(series: DataFrame, year: float = 252.0) -> DataFra
     total = F.sum((F.col("la") - F.col("_m")) * (F.col("la") - F.col("_m")))
     last = lambda c: F.max_by(c, "date")
     out = l.agg(
-        F.count(F.lit(1)).alias("n_days"), corr("la", "lr").alias("correlation_daily"), F.when(total > 0, 1 - F.sum(F.col("d") * F.col("d")) / F.when(total > 0, total)).otherwise(0.0).alias("r_squared"), (F.stddev_samp("d") * F.sqrt(F.lit(year))).alias("tracking_error_annual"),
+        F.count(F.lit(1)).alias("n_days"), corr("la", "lr").alias("correlation_daily"), F.when(total > 0, 1 - F.sum(F.col("d") * F.col("d")) / F.when(total > 0, total)).when(total == 0, 0.0).alias("r_squared"), (F.stddev_samp("d") * F.sqrt(F.lit(year))).alias("tracking_error_annual"),
         F.sqrt(F.avg((F.col("r") - F.col("a")) * (F.col("r") - F.col("a")))).alias("rmse_index"), F.max(F.abs(F.col("r") - F.col("a"))).alias("max_deviation"), ((last("r") - last("a")) / last("a") * 100).alias("final_diff_pct"),
     )
     months = x.groupBy(F.trunc("date", "MM").alias("m")).agg(last("a").alias("a"), last("r").alias("r"))
