@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Slots of a source in one shard.
 SHARD_SLOTS = 4096
 
@@ -102,14 +104,13 @@ def regular_grid(readings: DataFrame, source: list[str], slot: str, value: str,
     grid = out.select(*source, (F.col("k") + F.col("i")).alias("slot"), filled.alias("value"), state.alias("state"))
     if off_grid is None:
         return grid
-    beyond = _beyond(readings, slots, source, slot, value, off_grid, shard_slots)
-    return grid.unionByName(beyond)
+    off = readings.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*source, value, off_grid]) + f" AND {slot} IS NULL")
+    off = cut_lineage(off.groupBy(*source).agg(F.min(off_grid).alias("lo"), (F.max(off_grid) - 1).alias("hi")))  # a row a source at most
+    return grid.unionByName(_beyond(off, slots, source, shard_slots)) if off.limit(1).count() else grid
 
 
-def _beyond(readings: DataFrame, slots: DataFrame, source: list[str], slot: str, value: str, off_grid: str, shard_slots: int) -> DataFrame:
+def _beyond(off: DataFrame, slots: DataFrame, source: list[str], shard_slots: int) -> DataFrame:
     """The gap slots between a source's outermost filled slot and a reading off the grid beyond it."""
-    off = readings.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*source, value, off_grid]) + f" AND {slot} IS NULL")
-    off = off.groupBy(*source).agg(F.min(off_grid).alias("lo"), (F.max(off_grid) - 1).alias("hi"))
     ends = slots.groupBy(*source).agg(F.min("k").alias("a"), F.max("k").alias("z")).join(off, source)
     side = lambda x, y: F.when(x <= y, F.struct(x.alias("x"), y.alias("y")))
     sides = F.array_compact(F.array(side(F.col("lo"), F.col("a") - 1), side(F.col("z") + 1, F.col("hi"))))
