@@ -9,7 +9,6 @@ import pytest
 from panelspark.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
-SLOW = {"alloc_max_sharpe"}
 
 
 def plain(df):
@@ -36,7 +35,7 @@ def sql(small):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, small, sql, name):
     got = registry.QUERIES[name](spark, small).toPandas()
     if name in registry.SQL:
